@@ -37,7 +37,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, salts: int) -> DataFrame:
     """``(id, pos)`` of the lines to drop."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = line_table(docs, id_col, text_col, min_chars).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    # written first: range partitioning reads its input twice, once to find the bounds
+    lines = stage(line_table(docs, id_col, text_col, min_chars), "lines")
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     stripe = Window.partitionBy("h1", "h2", "salt").orderBy("id", "pos")
     ranged = salted.repartitionByRange(n, "h1", "h2", "salt").withColumn(
         "first", F.first("id").over(stripe.rowsBetween(Window.unboundedPreceding, 0))
