@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import _MARKS, PieceCodec, byte_symbols, shrink
+from .tokens import _MARKS, PieceCodec, blocks, byte_symbols, shrink, split_unique
 
 _COUNTERS: dict[str, "PrefixCounter"] = {}
 
@@ -118,40 +118,55 @@ class PrefixCounter:
         return n
 
     def piece_total(self, piece: str) -> int:
-        known = self.totals
-        n = known.get(piece)
-        if n is None:
-            if len(known) > self.limit:
-                shrink(known)
-            body = piece[1:] if piece[:1] == " " else piece
-            if body.isalpha():
-                n = self._word_total(piece)
-            elif body[-1:] in _MARKS and body[:-1].isalpha():
-                n = self._word_total(piece[:-1]) + self._word_total(piece[-1])
-            else:
-                cut = self.codec.tokenizer.pre_tokenizer.pre_tokenize_str
-                n = sum([self._word_total(piece[a:b]) for _, (a, b) in cut(piece)])
-            known[piece] = n
-        return n
+        """Tokens of a piece as it stands."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if not piece:
+            return 0
+        if piece[0] == "\n" and piece[1:2] not in ("", "\n"):
+            return 1 + self.piece_total(piece[1:])  # a single line break is a token run of its own
+        if body.isalpha():
+            return self._word_total(piece)
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return self._word_total(piece[:-1]) + self._word_total(piece[-1])
+        cut = self.codec.tokenizer.pre_tokenizer.pre_tokenize_str
+        return sum([self._word_total(piece[a:b]) for _, (a, b) in cut(piece)])
 
     def pieces(self, text: str) -> list[str] | None:
         """Stretches that no token crosses, or None if only the whole text tells."""
         cut = self.codec.pieces(text)
-        return None if cut is None else cut[:1] + [" " + p for p in cut[1:]]
+        return None if cut is None else cut[:1] + [p if p[:1] == "\n" else " " + p for p in cut[1:]]
 
     def count(self, text: str | None) -> int:
         """Tokens of the whole text."""
-        if not text:
-            return 0
-        pieces = self.pieces(text)
-        if pieces is not None:
-            got = list(map(self.totals.get, pieces))
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                got[at] = self.piece_total(pieces[at])
-            return sum(got)
-        return sum(1 if p in self.special else self._long_total(p) for p in self._segments(text))
+        return self.count_many([text])[0]
+
+    def count_many(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text, summed over its pieces; each distinct piece of a block is asked for once."""
+        out: list[int] = []
+        for block in blocks(texts):
+            flat = [self.codec.spread(t) if t else "" for t in block]
+            names, codes, ends = split_unique(flat)
+            got = list(map(self.totals.get, names))
+            for i, n in enumerate(got):
+                if n is None:
+                    got[i] = self.follower_total(names[i])
+            summed = np.concatenate([[0], np.cumsum(np.array(got, dtype=np.int64)[codes])])
+            for text, row, a, b in zip(block, flat, ends, ends[1:]):
+                if row is None:
+                    out.append(sum(1 if p in self.special else self._long_total(p) for p in self._segments(text)))
+                else:
+                    # the first piece has no space before it
+                    out.append(int(summed[b] - summed[a + 1]) + self.piece_total(names[codes[a]]) if row else 0)
+        return out
+
+    def follower_total(self, piece: str) -> int:
+        """Tokens of a piece that another comes before."""
+        n = self.totals.get(piece)
+        if n is None:
+            if len(self.totals) > self.limit:
+                shrink(self.totals)
+            n = self.totals[piece] = self.piece_total(piece if piece[:1] == "\n" else " " + piece)
+        return n
 
     def _long_total(self, text: str) -> int:
         cut = self.codec.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -211,7 +226,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
         counter = PrefixCounter.shared(vocabulary)
         for part in batches:
             texts = part["text"].tolist()
-            n = [counter.count(t) for t in texts]
+            n = counter.count_many(texts)
             chars = [counter.cut_at(t, limit) if x > limit else len(t or "") for t, x in zip(texts, n)]
             yield pd.DataFrame(
                 {

@@ -88,12 +88,12 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     """``shards`` with ``start``, the ids of the whole before each shard.
 
     Parts are as many as the partitions of the write, whatever the corpus
-    holds; only their totals are summed in order and joined back.
+    holds; only their totals are summed in order and sent back to all tasks.
     """
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return shards.join(bases, "part").withColumn("start", F.col("before") + F.col("base")).drop("before")
+    return shards.join(F.broadcast(bases), "part").withColumn("start", F.col("before") + F.col("base")).drop("before")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,11 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Marks that no token of the vocabularies joins to letters before them.
 _MARKS = frozenset(".,;:!?")
@@ -36,13 +41,13 @@ class PieceCodec:
     BPE) and ``words`` if white space is dropped.
     """
 
-    def __init__(self, path: str, style: str, limit: int = 800_000):
+    def __init__(self, path: str, style: str, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.limit = style == "spaced", limit
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {}
         self.symbols = byte_symbols()
 
@@ -57,20 +62,26 @@ class PieceCodec:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pieces, or None if the text must be encoded whole.
+    def spread(self, text: str) -> str | None:
+        """The text with one space between its pieces, or None if it must be encoded whole.
 
-        In the spaced style all but the first piece stand for a space and themselves.
+        In the spaced style all pieces but the first stand for a space and
+        themselves; those that begin with a line break stand for themselves.
         """
         if "<|" in text or not text.replace("\n", "").isprintable():
             return None
         if not self.spaced:
-            return text.split()
+            return text.replace("\n", " ")
         if "  " in text or " \n" in text or "\n " in text or text[-1:] == " ":
             return None
-        return text.split(" ")
+        # a single line break is a token run of its own
+        return text if "\n\n" in text else text.replace("\n", " \n")
+
+    def pieces(self, text: str) -> list[str] | None:
+        flat = self.spread(text)
+        return None if flat is None else flat.split(" ")
 
-    def _letters(self, piece: str) -> str | None:
+    def _letters(self, piece: str, lead: bool) -> str | None:
         """The model's symbols of a piece of Latin letters, which is one pre-token."""
         if not piece.isalpha():
             return None
@@ -78,7 +89,7 @@ class PieceCodec:
             if piece > "\u00ff" or max(piece) > "\u00ff":
                 return None
         if self.spaced:
-            return "\u0120" + piece.encode().decode("latin-1").translate(self.symbols)
+            return ("\u0120" if lead else "") + piece.encode().decode("latin-1").translate(self.symbols)
         return piece.lower().encode().decode("latin-1").translate(self.symbols)
 
     def learn(self, pieces: set[str]) -> None:
@@ -90,53 +101,71 @@ class PieceCodec:
         model, rest = self.tokenizer.model, []
         for p in pieces.difference(marked).union([p[:-1] for p in marked]):
             if p not in known:
-                symbols = self._letters(p)
+                line = p[:1] == "\n"
+                symbols = self._letters(p[1:] if line else p, not line)
                 if symbols is None:
                     rest.append(p)
                 else:
-                    known[p] = array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
-        for p, e in zip(rest, self.tokenizer.encode_batch([lead + p for p in rest], add_special_tokens=False)):
+                    known[p] = (self._mark("\n") if line else b"") + array("I", [t.id for t in model.tokenize(symbols)]).tobytes()
+        asked = [p if p[:1] == "\n" else lead + p for p in rest]
+        for p, e in zip(rest, self.tokenizer.encode_batch(asked, add_special_tokens=False)):
             known[p] = array("I", e.ids).tobytes()
         for p in marked:
-            if p[-1] not in self.marks:
-                self.marks[p[-1]] = self.whole(p[-1])
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+            known[p] = known[p[:-1]] + self._mark(p[-1])
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.whole(mark)
+        return self.marks[mark]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text."""
         return self.encode_many([text])[0]
 
-    def encode_many(self, texts: list[str | None], chunk: int = 256) -> list[bytes]:
-        """The ids of each text; what is new in ``chunk`` texts is learned at once."""
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
         out: list[bytes] = []
-        get = self.known.get
-        for i in range(0, len(texts), chunk):
-            rows, new = [], set()
-            for text in texts[i : i + chunk]:
-                cut = self.pieces(text) if text else []
-                if cut is None:
-                    rows.append((None, [self.whole(text)]))
-                    continue
-                first = [self.whole(cut[0])] if self.spaced and cut and cut[0] else []
-                cut = cut[1:] if self.spaced else cut
-                got = list(map(get, cut))
-                if None in got:
-                    new.update([p for p, v in zip(cut, got) if v is None])
-                    rows.append((cut, first + got))
+        for block in blocks(texts):
+            flat = [self.spread(t) if t else "" for t in block]
+            names, codes, ends = split_unique(flat)
+            got = list(map(self.known.get, names))
+            if None in got:
+                new = [i for i, v in enumerate(got) if v is None]
+                self.learn({names[i] for i in new})
+                for i in new:
+                    got[i] = self.known[names[i]]
+            take, codes = got.__getitem__, codes.tolist()
+            for text, row, a, b in zip(block, flat, ends, ends[1:]):
+                if row is None:
+                    out.append(self.whole(text))
+                elif self.spaced and row:
+                    head = names[codes[a]]
+                    out.append(b"".join([self.whole(head) if head else b"", *map(take, codes[a + 1 : b])]))
                 else:
-                    rows.append((None, first + got))
-            if new:
-                self.learn(new)
-            for cut, got in rows:
-                if cut is not None:
-                    shift, at = len(got) - len(cut), -1
-                    for _ in range(got.count(None)):
-                        at = got.index(None, at + 1)
-                        got[at] = get(cut[at - shift])
-                out.append(b"".join(got))
+                    out.append(b"".join(map(take, codes[a:b])))
         return out
 
 
+def blocks(texts: list[str | None], chars: int = 6_000_000) -> Iterator[list[str | None]]:
+    """Consecutive texts of about so many characters together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def split_unique(flat: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
+    """Distinct pieces, the piece numbers of all texts, and where each text's begin."""
+    cut = pc.split_pattern(pa.array([r or "" for r in flat], pa.large_string()), " ")
+    coded = cut.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), cut.offsets.to_pylist()
+
+
 def public_path(name: str) -> str:
     """The place of a public vocabulary file; the same on every machine."""
     import public_tokenizers
