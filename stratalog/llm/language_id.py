@@ -64,16 +64,20 @@ def ngram_vector(text: str) -> np.ndarray:
     return x / norm if norm else x
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, rounds: int = 150) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss; y is +1 or -1."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(z.shape[1])
-    ahead, pace = w.copy(), 1 / (1 + 4 * c)
+def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 300.0, rounds: int = 150) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss; y is +1 or -1.
+
+    Accelerated gradient steps, in single precision; both classes weigh alike.
+    """
+    z = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    y = y.astype(np.float32)
+    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w = np.zeros(z.shape[1], np.float32)
+    ahead, pace, reach = w, np.float32(1 / (1 + 4 * c)), np.float32(2 * c)
     for k in range(rounds):
         gap = np.maximum(0, 1 - y * (z @ ahead))
-        new = ahead - pace * (ahead - 2 * c * (z.T @ (balance * y * gap)))
-        ahead = new + k / (k + 3) * (new - w)
+        new = ahead - pace * (ahead - reach * ((balance * y * gap) @ z))
+        ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -130,7 +134,7 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_per_language: int = 1200,
+    sample_per_language: int = 800,
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs``.
 
