@@ -55,3 +55,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 1
     ``broadcast_rows`` rows (8 MB of keys); otherwise both sides are shuffled."""
     side = F.broadcast(ids) if small_enough(ids, broadcast_rows) else ids
     return df.join(side, column, "left_semi")
+
+
+def bound_batches(spark: SparkSession, size: str = "16m", rows: int = 2000) -> None:
+    """Bound the Arrow batches of later queries, as texts may be very long.
+
+    The default of 10,000 rows a batch is meant for rows of a few bytes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, stage
+from .common import bound_batches, keep_ids, stage
 
 _WORD = re.compile(r"\w+")
 RESULT = "doc_id long, item_id long, score double, n_seeds int, word_start int, word_end int"
@@ -222,6 +222,7 @@ def contaminated(
 
     ``word_start`` and ``word_end`` bound the aligned words of the document.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     total = items.count()

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .learning import bounded_sample, logistic, sigmoid
 
 # Families of common language codes; any other code is a family of its own.
@@ -140,6 +141,7 @@ def identify(
 
     Rows of ``train`` (``docs`` if not given) in the fold give the sample.
     """
+    bound_batches(docs.sparkSession)
     source = (docs if train is None else train).where(train_fold & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = bounded_sample(rows, "doc_id", "lang", sample_per_language)

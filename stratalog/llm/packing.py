@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bound_batches, stage
 from .tokens import PieceCodec
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -62,9 +62,9 @@ class BestFit:
         return number, used
 
 
-def encode_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col: str, text_col: str, style: str) -> DataFrame:
+def encode_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_col: str, text_col: str, style: str, remember: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, end = PieceCodec.shared(vocabulary, style), end_id.to_bytes(4, "little")
+        codec, end = PieceCodec.shared(vocabulary, style, remember), end_id.to_bytes(4, "little")
         step = 4 * size
         for part in batches:
             out = []
@@ -103,7 +103,13 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     style: str = "words",
+    remember: int = 450_000,
 ) -> DataFrame:
-    """One row for each piece: where it lies in its document and in a sequence."""
-    pieces = stage(encode_pieces(docs, vocabulary, size, end_id, id_col, text_col, style), "pieces")
+    """One row for each piece: where it lies in its document and in a sequence.
+
+    ``remember`` bounds the pieces of text that a worker keeps with their ids,
+    at about 250 bytes each.
+    """
+    bound_batches(docs.sparkSession)
+    pieces = stage(encode_pieces(docs, vocabulary, size, end_id, id_col, text_col, style, remember), "pieces")
     return pack(pieces, size, open_bins)

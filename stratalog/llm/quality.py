@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import bound_batches, stage
 from .learning import isotonic, labelled, partition_sum
 
 _MARKS = b".,;:!?|#$%&*\"'()-_/\\=<>@{}[]"
@@ -101,6 +101,7 @@ def score_quality(
         for part in batches:
             yield pd.DataFrame({"doc_id": part["doc_id"], "x": [document_statistics(t) for t in part["text"].tolist()]})
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = stage(slim.mapInPandas(describe, "doc_id long, x array<double>"), "statistics")
     train = stage(labelled(stats, labels, id_col, label_col, train_fold), "train")

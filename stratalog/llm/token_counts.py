@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .tokens import _MARKS, PieceCodec, blocks, byte_symbols, shrink, split_unique
 
 _COUNTERS: dict[str, "PrefixCounter"] = {}
@@ -238,5 +239,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
                 }
             )
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .eliasfano import EliasFano
 from .tokens import PieceCodec
 
@@ -45,11 +46,12 @@ def write_token_files(
     text_col: str = "text",
     style: str = "spaced",
     shard_ids: int = 1 << 20,
+    remember: int = 900_000,
 ) -> None:
     """Encode ``docs`` and write shards of about ``shard_ids`` ids to ``path``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, end = PieceCodec.shared(vocabulary, style), np.array([end_id], "<u4").tobytes()
+        codec, end = PieceCodec.shared(vocabulary, style, remember), np.array([end_id], "<u4").tobytes()
         small = codec.tokenizer.get_vocab_size() <= 1 << 16
         part, shard, base = TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
@@ -78,6 +80,7 @@ def write_token_files(
         if ends:
             yield row()
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -52,11 +52,11 @@ class PieceCodec:
         self.symbols = byte_symbols()
 
     @classmethod
-    def shared(cls, path: str, style: str) -> "PieceCodec":
+    def shared(cls, path: str, style: str, limit: int) -> "PieceCodec":
         """One codec for each Python worker."""
         key = (path, style)
         if key not in _CODECS:
-            _CODECS[key] = cls(path, style)
+            _CODECS[key] = cls(path, style, limit)
         return _CODECS[key]
 
     def whole(self, text: str) -> bytes:

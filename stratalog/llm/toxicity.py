@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, stage
+from .common import bound_batches, keep_ids, stage
 from .learning import bounded_sample, labelled, logistic, sigmoid
 
 # The words that the grammar starts from.
@@ -216,6 +216,7 @@ def score_toxicity(
     sample_per_label: int = 3000,
 ) -> DataFrame:
     """``doc_id, score, predicted, n_clauses`` for every row of ``docs``."""
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labelled(labels.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), labels, id_col, label_col, train_fold)
     chosen = stage(bounded_sample(known, "doc_id", "y", sample_per_label), "chosen")
