@@ -186,6 +186,22 @@ class PrefixCounter:
             done = int(out[at])
         return out
 
+    def _cut_piece(self, piece: str, budget: int) -> int:
+        """Characters of the longest prefix of a piece with at most ``budget`` tokens."""
+        used = best = 0
+        for _, (at, end) in self.codec.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
+            word = piece[at:end]
+            n = self._word_total(word)
+            if used + n > budget:
+                if len(word) <= 8:  # a mark and letters may be cut in two where they are cut short
+                    fits = [i for i in range(1, len(word)) if used + self.piece_total(word[:i]) <= budget]
+                else:
+                    counts, ends = self.byte_prefixes(word.encode()), np.cumsum([len(c.encode()) for c in word])
+                    fits = [i + 1 for i, e in enumerate(ends.tolist()) if used + counts[e] <= budget]
+                return max([best] + [at + i for i in fits])
+            used, best = used + n, end
+        return best
+
     def cut_at(self, text: str | None, budget: int) -> int:
         """Characters of the longest prefix with at most ``budget`` tokens, piece by piece."""
         text = text or ""
@@ -203,7 +219,7 @@ class PrefixCounter:
         for p in pieces:
             n = self.piece_total(p)
             if used + n > budget:
-                return max([best] + [at + i for i in range(1, len(p)) if used + self.piece_total(p[:i]) <= budget])
+                return max(best, at + self._cut_piece(p, budget - used))
             used, at = used + n, at + len(p)
             best = at
         return at
