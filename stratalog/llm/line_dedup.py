@@ -11,8 +11,9 @@ document and never its text.
 
 Defined cases: a null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are always kept; in the smallest document that holds
-a key all its lines stay; repeated rows with one id count as one document;
-other columns play no part.
+a key all its lines stay; repeated rows with one id count as one document; a
+row without an id takes no part and keeps its lines; other columns are passed
+on, but for those that have the name of a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _key(line: Column) -> Column:
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """``(id, pos, h1, h2)`` of the lines whose keys are long enough."""
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     keyed = lines.select("id", "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keyed.select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -99,19 +100,31 @@ def line_dedup(
     ``keep_runs`` is the compressed bitmap: lengths of alternating runs of
     kept and dropped lines, the first of them kept. ``kept_text`` applies it.
     """
-    gone = dropped_positions(docs, id_col, text_col, min_chars, salts).select(F.col("id").alias("_id"), "dropped")
-    none = F.array().cast("array<int>")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    joined = joined.select(
-        "*", F.coalesce(F.split(text_col, "\n"), F.array(F.lit(""))).alias("_lines"), F.coalesce("dropped", none).alias("_gone")
+    gone = dropped_positions(docs, id_col, text_col, min_chars, salts)
+    results = ("n_lines", "n_dropped", "keep_runs", "kept_text")
+    rest = [c for c in docs.columns if c not in (id_col, text_col, *results)]
+    # other columns travel in a struct, where their names cannot clash with those used here
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).alias("key"),
+        F.col(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []),
     )
-    kept = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(
-        F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    joined = slim.join(gone, "id", "left").select(
+        "*",
+        F.coalesce(F.split("text", "\n"), F.array(F.lit(""))).alias("lines"),
+        F.coalesce("dropped", F.array().cast("array<int>")).alias("gone"),
     )
+    # by data frame and not by name, as a result may bear the name of a column read here
+    text, lines, gone = joined["text"], joined["lines"], joined["gone"]
+    kept = F.when(F.size(gone) == 0, F.coalesce(text, F.lit(""))).otherwise(
+        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    )
+    named = {id_col: joined["key"], text_col: text} | {c: joined["row"].getField(c) for c in rest}
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_dropped"),
-        _runs(F.col("_gone"), F.size("_lines")).alias("keep_runs"),
+        *[named[c].alias(c) for c in docs.columns if c in named],
+        F.size(lines).cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_dropped"),
+        _runs(gone, F.size(lines)).alias("keep_runs"),
         kept.alias("kept_text"),
     )
