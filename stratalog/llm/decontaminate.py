@@ -14,7 +14,7 @@ benchmark takes more passes, never a larger broadcast.
 Defined cases: a null text, or one without words, matches nothing; items with
 fewer words than an n-gram use all their words as the n-gram; items without
 words match nothing; equal items are reported each; repeated rows are reported
-each; other columns play no part.
+each; documents without an id are not reported; other columns play no part.
 """
 
 from __future__ import annotations

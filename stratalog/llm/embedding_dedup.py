@@ -17,8 +17,8 @@ vectors in several common dense cells are compared in the first.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of unlike lengths link with nothing;
-repeated rows (same id) count as one vector; labels and other columns play no
-part.
+repeated rows (same id) count as one vector, and so do rows without an id,
+which are not kept; labels and other columns play no part.
 """
 
 from __future__ import annotations
@@ -267,6 +267,6 @@ def near_duplicate_vectors(
     return (
         ids.join(per_group, ["h1", "h2", "fine"], "left")
         .select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-        .withColumn("kept", F.col("component_id") == F.col("id"))
+        .withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)))
         .withColumnRenamed("id", id_col)
     )

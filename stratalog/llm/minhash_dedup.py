@@ -20,8 +20,8 @@ The sketch is the ``k`` smallest hashes. The steps:
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing; a text with fewer words than a shingle has its whole word
-sequence as its only shingle; repeated rows are copies of one another; other
-columns play no part.
+sequence as its only shingle; repeated rows are copies of one another; a row
+without an id is not kept; other columns play no part.
 """
 
 from __future__ import annotations
@@ -213,6 +213,6 @@ def near_duplicates(
         sk.select("id", "n_shingles", "k1", "k2")
         .join(named, ["k1", "k2"], "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-        .withColumn("kept", F.col("component_id") == F.col("id"))
+        .withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)))
         .withColumnRenamed("id", id_col)
     )

@@ -13,6 +13,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .language_id import identify
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .quality import score_quality
 from .token_counts import count_tokens
@@ -59,7 +60,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "keep_runs")
+    return done.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+        F.array_join(F.col("keep_runs").cast("array<string>"), ",").alias("keep_runs"),
+    )
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +92,3 @@ QUERIES = {
         op10_decontamination,
     )
 }
-
-ORACLES: dict[str, str] = {}
