@@ -157,12 +157,12 @@ def terms(text: str) -> list[str]:
     return list(words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n})
 
 
-def learn_lexicon(sample: DataFrame, support: int = 4, ratio: float = 12.0, clean_share: float = 0.002) -> tuple[dict[str, float], dict[str, float]]:
+def learn_lexicon(sample: DataFrame, support: int = 4, fresh: int = 2, ratio: float = 12.0, clean_share: float = 0.002) -> tuple[dict[str, float], dict[str, float]]:
     """Words and beginnings from ``sample(doc_id, text, y)``.
 
     Candidates occur in ``support`` toxic texts or more and ``ratio`` times as
     often in toxic texts as in others. They are taken while one explains
-    ``support`` toxic texts that none before it does.
+    ``fresh`` toxic texts that none before it does.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,13 +196,13 @@ def learn_lexicon(sample: DataFrame, support: int = 4, ratio: float = 12.0, clea
         worth = lambda k: (len(left[k]) - 2 * spoil[k], -spoil[k], not k.endswith("*"), len(k), k)
         best = max(left, key=worth)
         gone = left[best]
-        if len(gone) < support or worth(best)[0] <= 0:
+        if len(gone) < fresh or worth(best)[0] <= 0:
             break
         gain = np.log((support_of[best] + 0.5) / toxic) - np.log((spoil[best] + 0.5) / clean)
         (heads if best.endswith("*") else words)[best.rstrip("*")] = float(np.clip(gain / 4, 0.25, 2.0))
         gone = set(gone)
         left = {k: v - gone for k, v in left.items()}
-        left = {k: v for k, v in left.items() if len(v) >= support}
+        left = {k: v for k, v in left.items() if len(v) >= fresh}
     return words, heads
 
 

@@ -27,7 +27,7 @@ from stratalog.llm.token_files import read_token_files, write_token_files
 from stratalog.llm.tokens import public_path
 from stratalog.llm.toxicity import Grammar, INSULTS, score_toxicity
 
-SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SF, SF2, SF3 = (f"/root/testdata/{x}" for x in ("sf0.001", "sf0.01", "sf0.1"))
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 LONG = "one rather long line of words that goes on and on " * 4000
 ODD = [None, "", " ", "a", "A", "one two three", "one two three", "\n\n\n", "éß \U0001f600 中文", "x" * 50_000, LONG, LONG + "tail"]
@@ -227,10 +227,11 @@ def test_packing_of_nothing(rows):
 # learned scores, on what was held out
 
 
-@pytest.mark.parametrize("query,column,least", [("op2_quality", "quality", 0.8), ("op5_toxicity", "toxic", 0.9)])
+@pytest.mark.parametrize("query,column,least", [("op2_quality", "quality", 0.95), ("op5_toxicity", "toxic", 0.9)])
 def test_held_out_scores(spark, query, column, least):
-    docs, labels = (spark.read.parquet(f"{SF2}/{t}.parquet") for t in ("documents", "labels"))
-    got = queries.QUERIES[query](spark, SF2)
+    # on the largest tables: the smaller ones hold out six toxic rows
+    docs, labels = (spark.read.parquet(f"{SF3}/{t}.parquet") for t in ("documents", "labels"))
+    got = queries.QUERIES[query](spark, SF3)
     assert got.count() == docs.count()
     assert got.where("score < 0 OR score > 1 OR predicted <> int(score >= 0.5) OR score IS NULL").count() == 0
     both = got.where("held_out").join(labels, "doc_id").where(f"{column} IS NOT NULL").select("score", column).toPandas()
