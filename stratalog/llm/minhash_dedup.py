@@ -17,6 +17,9 @@ The sketch is the ``k`` smallest hashes. The steps:
    threshold by over ``slack`` standard deviations go.
 4. Exact Jaccard on full sets decides. A spanning choice of pairs is verified
    first; a pair whose ends are then in one component needs no verification.
+5. Members of a long list that are not in its largest component by then are
+   compared with every member of other components, so that no link between
+   components is lost to the length of a list.
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing; a text with fewer words than a shingle has its whole word
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_ids, stage, words
+from .common import ascii_lower, keep_ids, small_enough, stage, words
 from .components import connected_components
 
 
@@ -111,23 +114,82 @@ def _neighbour_pairs(long: DataFrame, reach: int) -> DataFrame:
     return star.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def candidate_pairs(reps: DataFrame, threshold: int, probe: int, list_size: int, min_shared: int, reach: int) -> DataFrame:
-    """``reps(rep, n, sketch)`` to distinct ``(a, b)`` that may be linked."""
+def _key(x: Column, y: Column) -> Column:
+    """The list of two values."""
+    return F.xxhash64(F.least(x, y), F.greatest(x, y))
+
+
+def _estimate(sa: Column, sb: Column, k: int) -> Column:
+    """``(est, m)``: the similarity by the sketch of the union, and its size."""
+    u = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
+    return F.struct(
+        (F.size(F.array_intersect(F.array_intersect(u, sa), sb)) / F.size(u)).alias("est"), F.size(u).alias("m")
+    )
+
+
+def _likely(est: Column, m: Column, threshold: int, slack: float) -> Column:
+    t = threshold / 100
+    return est >= t - slack * F.sqrt(F.lit(t * (1 - t)) / m)
+
+
+def straggler_pairs(
+    rest: DataFrame, labels: DataFrame, reps: DataFrame, threshold: int, probe: int, k: int, slack: float, rows: int = 100_000
+) -> DataFrame:
+    """Pairs within long lists ``rest(v, rep)`` whose ends lie in different components.
+
+    A list that is one component by now, as most are, gives none. In others
+    the members outside the list's largest component meet all members. A pair
+    is taken in the list of its first two shared values alone. Stragglers are
+    broadcast up to ``rows`` rows (under 64 MB); a hot list is split by Spark
+    as a skewed join otherwise.
+    """
+    placed = stage(
+        rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("comp")),
+        "placed",
+    )
+    main = placed.groupBy("v", "comp").count().groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts"))
+    main = stage(main.where("parts > 1").select("v", "main"), "mixed")
+    side = reps.select("rep", "n", "sketch")
+    members = stage(placed.join(main, "v").join(side, "rep"), "members")
+    few = members.where("comp <> main")
+    few = F.broadcast(few) if small_enough(few, rows) else few
+    shared = F.array_intersect(F.slice("l.sketch", 1, probe), F.slice("r.sketch", 1, probe))
+    found = _estimate(F.col("l.sketch"), F.col("r.sketch"), k)
+    return (
+        few.alias("l")
+        .join(
+            members.alias("r"),
+            (F.col("l.v") == F.col("r.v"))
+            & (F.col("l.comp") != F.col("r.comp"))
+            & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
+            & (F.col("l.n") * 100 >= F.col("r.n") * threshold)
+            & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
+            & (F.col("l.v") == _key(F.element_at(shared, 1), F.element_at(shared, 2)))
+            & _likely(found["est"], found["m"], threshold, slack),
+        )
+        .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+    )
+
+
+def candidate_pairs(
+    reps: DataFrame, threshold: int, probe: int, list_size: int, min_shared: int, reach: int
+) -> tuple[DataFrame, DataFrame]:
+    """``reps(rep, n, sketch)`` to distinct ``(a, b)`` that may be linked.
+
+    The second table, ``(v, rep)``, holds the lists that are not compared pair by pair.
+    """
     slim = reps.select("rep", "n", F.slice("sketch", 1, probe).alias("probe"))
     posted = slim.select("rep", "n", "probe", F.explode("probe").alias("v"))
     lengths = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     posted = stage(posted.join(lengths, "v"), "postings")
     out = _list_pairs(posted.where(F.col("c") <= list_size), threshold, min_shared)
 
-    def keyed(u: Column) -> Column:
-        return F.xxhash64(F.least("v", u), F.greatest("v", u))
-
     # a set with a single probe value can only match its own copies, which are gone
     long = (
         posted.where(F.col("c") > list_size)
         .select("rep", "n", "probe", "v", F.explode("probe").alias("u"))
         .where("u <> v")
-        .select("rep", "n", "probe", keyed(F.col("u")).alias("v"), F.xxhash64("u", "v").alias("turn"))
+        .select("rep", "n", "probe", _key(F.col("v"), F.col("u")).alias("v"), F.xxhash64("u", "v").alias("turn"))
         .dropDuplicates(["rep", "v"])
     )
     lengths = long.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
@@ -137,7 +199,7 @@ def candidate_pairs(reps: DataFrame, threshold: int, probe: int, list_size: int,
     rest = rest.select(
         "v", "rep", F.concat_ws(",", F.transform(F.sort_array(F.transform("probe", lambda x: F.xxhash64(x, "v"))), lambda x: F.hex(x))).alias("order")
     )
-    return out.union(_neighbour_pairs(rest, reach)).distinct()
+    return out.union(_neighbour_pairs(rest, reach)).distinct(), rest.select("v", "rep")
 
 
 def near_duplicates(
@@ -166,22 +228,24 @@ def near_duplicates(
     )
     reps = stage(reps, "sets")
 
-    pairs = candidate_pairs(reps, threshold, probe, list_size, min_shared, reach)
+    pairs, rest = candidate_pairs(reps, threshold, probe, list_size, min_shared, reach)
     side = reps.select("rep", "n", "sketch")
     scored = (
         pairs.join(side.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(side.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", "sa", "sb", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k).alias("u"))
-        .select("a", "b", (F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u")).alias("est"), F.size("u").alias("m"))
+        .select("a", "b", _estimate(F.col("sa"), F.col("sb"), k).alias("e"))
+        .select("a", "b", "e.est", "e.m")
     )
-    t = threshold / 100
-    likely = stage(scored.where(F.col("est") >= t - slack * F.sqrt(F.lit(t * (1 - t)) / F.col("m"))), "likely")
+    likely = stage(scored.where(_likely(F.col("est"), F.col("m"), threshold, slack)), "likely")
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    needed = keep_ids(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), stage(ids, "ids"), "id")
-    sets = stage(shingle_sets(needed, "id", "text", width).dropDuplicates(["id"]), "full")
+    def full_sets(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))).distinct()
+        needed = keep_ids(slim, stage(ids, "ids"), "id")
+        return stage(shingle_sets(needed, "id", "text", width).dropDuplicates(["id"]), "full")
 
-    def verified(some: DataFrame) -> DataFrame:
+    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
         full = (
             some.select("a", "b")
             .join(sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("xa")), "a")
@@ -190,9 +254,10 @@ def near_duplicates(
         )
         return full.where(F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
+    sets = full_sets(likely)
     # one pair for each node first; most others then lie within a component
     spanning = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    first = stage(connected_components(verified(spanning)), "first")
+    first = stage(connected_components(verified(spanning, sets)), "first")
     open_ = (
         likely.select("a", "b")
         .join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -200,9 +265,15 @@ def near_duplicates(
         .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
         .where("ca <> cb")
     )
-    more = verified(stage(open_, "open"))
+    more = verified(stage(open_, "open"), sets)
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     labels = connected_components(links)
+    if not rest.isEmpty():
+        labels = stage(labels, "labels")
+        late = stage(straggler_pairs(rest, labels, reps, threshold, probe, k, slack), "late")
+        if not late.isEmpty():
+            kept = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = connected_components(kept.union(verified(late, full_sets(late))))
 
     named = (
         reps.select("k1", "k2", "rep")

@@ -74,6 +74,16 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
+def brute_near_copies(texts, width):
+    sets = [shingles(t, width) for t in texts]
+    return sets, [
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a)
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_copies_match_brute_force(rows, width):
     rng = random.Random(width)
@@ -85,18 +95,29 @@ def test_near_copies_match_brute_force(rows, width):
             b[rng.randrange(len(b))] = f"w{rng.randrange(3000)}"
         texts.append(" ".join(b))
     texts += ODD
-    sets = [shingles(t, width) for t in texts]
-    links = [
-        (a, b)
-        for a in range(len(sets))
-        for b in range(a)
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
-    ]
+    sets, links = brute_near_copies(texts, width)
     got = {r["doc_id"]: r for r in near_duplicates(rows(texts), width=width).collect()}
     assert [got[i]["component_id"] for i in range(len(texts))] == components(len(texts), links)
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+@pytest.mark.parametrize("list_size, reach", [(4, 1), (2, 0)])
+def test_long_lists_lose_no_link(rows, list_size, reach):
+    """Drifting copies: neighbours are linked, while most members of a long list are not."""
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(90)], []
+    for step in range(120):
+        if step % 40 == 0:
+            for at in rng.sample(range(20, 90), 30):
+                base[at] = f"b{step}x{at}"
+        base[rng.randrange(20, 90)] = f"n{step}"
+        texts.append(" ".join(base))
+    sets, links = brute_near_copies(texts, 2)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(rows(texts), width=2, list_size=list_size, reach=reach).collect()}
+    want = components(len(texts), links)
+    assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
+
+
 def test_near_copies_of_nothing(rows):
     assert near_duplicates(rows(["a"]).where("false")).collect() == []
 
