@@ -17,9 +17,9 @@ The sketch is the ``k`` smallest hashes. The steps:
    threshold by over ``slack`` standard deviations go.
 4. Exact Jaccard on full sets decides. A spanning choice of pairs is verified
    first; a pair whose ends are then in one component needs no verification.
-5. Members of a long list that are not in its largest component by then are
-   compared with every member of other components, so that no link between
-   components is lost to the length of a list.
+5. Members of long lists that are not one component by then are listed anew by
+   the rarest values of their whole sketches, and compared with every member of
+   other components there, so that the length of a list loses no link.
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing; a text with fewer words than a shingle has its whole word
@@ -114,11 +114,6 @@ def _neighbour_pairs(long: DataFrame, reach: int) -> DataFrame:
     return star.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def _key(x: Column, y: Column) -> Column:
-    """The list of two values."""
-    return F.xxhash64(F.least(x, y), F.greatest(x, y))
-
-
 def _estimate(sa: Column, sb: Column, k: int) -> Column:
     """``(est, m)``: the similarity by the sketch of the union, and its size."""
     u = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
@@ -133,41 +128,52 @@ def _likely(est: Column, m: Column, threshold: int, slack: float) -> Column:
 
 
 def straggler_pairs(
-    rest: DataFrame, labels: DataFrame, reps: DataFrame, threshold: int, probe: int, k: int, slack: float, rows: int = 100_000
+    rest: DataFrame, labels: DataFrame, reps: DataFrame, threshold: int, slack: float, narrow: int = 16, rows: int = 200_000
 ) -> DataFrame:
-    """Pairs within long lists ``rest(v, rep)`` whose ends lie in different components.
-
-    A list that is one component by now, as most are, gives none. In others
-    the members outside the list's largest component meet all members. A pair
-    is taken in the list of its first two shared values alone. Stragglers are
-    broadcast up to ``rows`` rows (under 64 MB); a hot list is split by Spark
-    as a skewed join otherwise.
+    """Pairs among members of long lists ``rest(v, rep)`` whose ends lie in different components.
+
+    Members of lists that are one component by now have nothing to lose. The
+    others are listed anew by the rarest values of their whole sketches: two
+    sets at similarity 0.8 share half of 32 values but with a chance below
+    1e-4, and then also one of the ``k // 2 + 1`` rarest of either. Within
+    such a list the members outside its largest component meet all members of
+    other components; the first ``narrow`` values, by their upper halves,
+    tell most pairs apart there. The side of the stragglers is broadcast only
+    up to ``rows`` rows (about 30 MB); Spark splits hot lists otherwise.
     """
-    placed = stage(
-        rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("comp")),
-        "placed",
+    comp = F.coalesce("component", "rep").alias("comp")
+    placed = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", comp)
+    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
+    placed = placed.join(mixed, "v", "left_semi").select("rep", "comp").distinct()
+    members = stage(placed.join(reps.select("rep", "n", "sketch"), "rep"), "members")
+
+    values = members.select("rep", "comp", F.explode("sketch").alias("x"))
+    counted = values.groupBy("x").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    ranked = values.join(counted, "x").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "x", "lo", "hi"))).alias("all"))
+    listed = ranked.select("rep", F.explode(F.slice("all", 1, (F.size("all") + 1 - F.floor(F.size("all") / 2)).cast("int"))).alias("one"))
+    listed = listed.where("one.lo < one.hi").select("rep", F.col("one.x").alias("x"))
+    brief = members.select(
+        "rep", "comp", "n", F.transform(F.slice("sketch", 1, narrow), lambda x: F.shiftright(x, 32).cast("int")).alias("s")
     )
-    main = placed.groupBy("v", "comp").count().groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("parts"))
-    main = stage(main.where("parts > 1").select("v", "main"), "mixed")
-    side = reps.select("rep", "n", "sketch")
-    members = stage(placed.join(main, "v").join(side, "rep"), "members")
-    few = members.where("comp <> main")
+    posted = stage(listed.join(brief, "rep"), "rare")
+    main = posted.groupBy("x", "comp").count().groupBy("x").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    posted = stage(posted.join(main, "x"), "rare2")
+    few = posted.where("comp <> main")
     few = F.broadcast(few) if small_enough(few, rows) else few
-    shared = F.array_intersect(F.slice("l.sketch", 1, probe), F.slice("r.sketch", 1, probe))
-    found = _estimate(F.col("l.sketch"), F.col("r.sketch"), k)
+    found = _estimate(F.col("l.s"), F.col("r.s"), narrow)
     return (
         few.alias("l")
         .join(
-            members.alias("r"),
-            (F.col("l.v") == F.col("r.v"))
+            posted.alias("r"),
+            (F.col("l.x") == F.col("r.x"))
             & (F.col("l.comp") != F.col("r.comp"))
             & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
             & (F.col("l.n") * 100 >= F.col("r.n") * threshold)
             & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
-            & (F.col("l.v") == _key(F.element_at(shared, 1), F.element_at(shared, 2)))
             & _likely(found["est"], found["m"], threshold, slack),
         )
         .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+        .distinct()
     )
 
 
@@ -189,7 +195,7 @@ def candidate_pairs(
         posted.where(F.col("c") > list_size)
         .select("rep", "n", "probe", "v", F.explode("probe").alias("u"))
         .where("u <> v")
-        .select("rep", "n", "probe", _key(F.col("v"), F.col("u")).alias("v"), F.xxhash64("u", "v").alias("turn"))
+        .select("rep", "n", "probe", F.xxhash64(F.least("v", "u"), F.greatest("v", "u")).alias("v"), F.xxhash64("u", "v").alias("turn"))
         .dropDuplicates(["rep", "v"])
     )
     lengths = long.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
@@ -230,14 +236,17 @@ def near_duplicates(
 
     pairs, rest = candidate_pairs(reps, threshold, probe, list_size, min_shared, reach)
     side = reps.select("rep", "n", "sketch")
-    scored = (
-        pairs.join(side.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(side.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        .select("a", "b", _estimate(F.col("sa"), F.col("sb"), k).alias("e"))
-        .select("a", "b", "e.est", "e.m")
-    )
-    likely = stage(scored.where(_likely(F.col("est"), F.col("m"), threshold, slack)), "likely")
 
+    def estimated(some: DataFrame) -> DataFrame:
+        scored = (
+            some.join(side.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+            .join(side.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+            .select("a", "b", _estimate(F.col("sa"), F.col("sb"), k).alias("e"))
+            .select("a", "b", "e.est", "e.m")
+        )
+        return scored.where(_likely(F.col("est"), F.col("m"), threshold, slack))
+
+    likely = stage(estimated(pairs), "likely")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def full_sets(some: DataFrame) -> DataFrame:
@@ -270,7 +279,7 @@ def near_duplicates(
     labels = connected_components(links)
     if not rest.isEmpty():
         labels = stage(labels, "labels")
-        late = stage(straggler_pairs(rest, labels, reps, threshold, probe, k, slack), "late")
+        late = stage(estimated(straggler_pairs(rest, labels, reps, threshold, slack)), "late")
         if not late.isEmpty():
             kept = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = connected_components(kept.union(verified(late, full_sets(late))))
