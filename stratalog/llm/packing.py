@@ -2,9 +2,12 @@
 
 Documents are encoded, ended with an id, and cut into pieces only if they are
 longer than a sequence. Only the pieces' lengths are then dealt to packers; a
-packer takes its pieces longest first and keeps a fixed number of open bins in
-a bitset keyed by free space. A piece goes to the open bin with the least room
-that holds it. If none does and all places are taken, the fullest bin closes.
+packer takes its pieces in the order of a hash and keeps a fixed number of open
+bins in a bitset keyed by free space. A piece goes to the open bin with the
+least room that holds it. If none does and all places are taken, the fullest
+bin closes. Runs of as many pieces as there are open bins are taken longest
+first; were all of a packer's pieces, more long ones than open bins would close
+most bins before the first short piece comes.
 
 Defined cases: a null or empty text is one piece that holds the end id alone;
 a repeated row is packed as often as it occurs; other columns play no part.
@@ -79,18 +82,32 @@ def encode_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_c
     return slim.mapInPandas(run, _PIECES)
 
 
+def _runs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in runs of ``rows``, wherever the batches end."""
+    rest = None
+    for part in batches:
+        rest = part if rest is None else pd.concat([rest, part], ignore_index=True)
+        whole = len(rest) - len(rest) % rows
+        for at in range(0, whole, rows):
+            yield rest.iloc[at : at + rows]
+        rest = rest.iloc[whole:]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def pack(pieces: DataFrame, size: int, open_bins: int, pieces_per_task: int = 65_536) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; needs a column ``length``."""
     n = max(1, -(-pieces.count() // pieces_per_task))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit, base = BestFit(size, open_bins), TaskContext.get().partitionId() << 40
-        for part in batches:
+        for part in _runs(batches, open_bins):
+            part = part.sort_values("length", ascending=False, kind="stable")
             placed = np.array([fit.place(x) for x in part["length"].tolist()], dtype=np.int64).reshape(-1, 2)
             yield part.assign(sequence_id=placed[:, 0] + base, offset=placed[:, 1])
 
-    dealt = pieces.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(n, mixed).sortWithinPartitions(mixed, "doc_id", "piece", "ids_crc32")
     return dealt.mapInPandas(run, _PIECES + ", sequence_id long, offset long")
 
 

@@ -20,7 +20,7 @@ from stratalog.llm.language_id import identify
 from stratalog.llm.learning import isotonic
 from stratalog.llm.line_dedup import line_dedup
 from stratalog.llm.minhash_dedup import near_duplicates
-from stratalog.llm.packing import BestFit, pack_documents
+from stratalog.llm.packing import BestFit, pack, pack_documents
 from stratalog.llm.quality import score_quality
 from stratalog.llm.token_counts import PrefixCounter, count_tokens
 from stratalog.llm.token_files import read_token_files, write_token_files
@@ -241,6 +241,19 @@ def test_best_fit_closes_the_fullest():
         fit.place(11)
 
 
+def test_packing_of_many_more_long_pieces_than_open_bins(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.where(rng.random(20_000) < 0.3, rng.integers(1025, 2049, 20_000), rng.integers(1, 1025, 20_000)).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, n) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = pack(pieces, 2048, 512).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == list(enumerate(lengths))
+    bins = defaultdict(int)
+    for r in out:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 2048
+    assert len(bins) <= -(-sum(lengths) // 2048) * 1.02
+
+
 def test_packing_of_nothing(rows):
     assert pack_documents(rows(["a"]).where("false"), public_path(WORDS)).collect() == []
 
