@@ -1,12 +1,13 @@
-"""Benchmark passages in training documents: rare seeds, then alignment.
+"""Benchmark passages in training documents: n-gram seeds, rarest first, then alignment.
 
 Items are cut to word n-grams, and one pass over all documents finds where
-these occur. How many documents hold each n-gram decides which are rare: those
-held by at most ``rarity`` times as many as the item's median n-gram, so that
-common phrases are no seeds, while an item leaked into a third of all
-documents keeps its own. Documents with a seed are read again, and the words
-around each seed are aligned with the item (Smith-Waterman: a match 2, a
-mismatch or a gap -1). The score is the best alignment's over a full match's.
+these occur and how many documents hold each. Documents with any of them are
+read again, and the words around each seed are aligned with the item
+(Smith-Waterman: a match 2, a mismatch or a gap -1), places with the rarest
+seed first. A place is passed over only if the words that it shares with the
+item are too few for the threshold, or for more than the best score so far.
+No seed is dropped for being frequent: edited copies may be many and hold
+nothing else. The score is the best alignment's over a full match's.
 
 Items are sent to the tasks in blocks of at most ``block_items``; a larger
 benchmark takes more passes, never a larger broadcast.
@@ -128,21 +129,12 @@ class Items:
         return at_all, gram_all
 
 
-def _seeds(items: Items, held: dict[int, int], rarity: float) -> set[int]:
-    """N-grams that are rare for at least one item that they occur in."""
-    own: dict[int, list[int]] = {}
-    for gram, places in enumerate(items.places):
-        if gram in held:
-            for key, _ in places:
-                own.setdefault(key, []).append(gram)
-    out: set[int] = set()
-    for grams in own.values():
-        bound = rarity * float(np.median([held[g] for g in grams]))
-        out.update(g for g in grams if held[g] <= bound)
-    return out
+def _most(own: np.ndarray, window: np.ndarray) -> int:
+    """No alignment of the two scores more than this."""
+    return 2 * min(int(np.isin(own, window).sum()), int(np.isin(window, own).sum()))
 
 
-def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, rarity: float, least: float) -> DataFrame:
+def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, least: float) -> DataFrame:
     spark = docs.sparkSession
     items = Items(rows, n)
     sent = spark.sparkContext.broadcast(items)
@@ -159,45 +151,45 @@ def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, rari
 
     hits = stage(docs.mapInPandas(find, "doc_id long, grams array<int>"), "hits")
     counted = hits.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    held = {r["gram"]: r["count"] for r in counted.collect()}  # n-grams of one block of items
-    seeds = spark.sparkContext.broadcast(_seeds(items, held, rarity))
-
-    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            mine = seeds.value
-            yield part.loc[[any(g in mine for g in grams) for grams in part["grams"]], ["doc_id"]]
-
-    ids = stage(hits.mapInPandas(chosen, "doc_id long").distinct(), "seeded")
+    held = np.zeros(len(items.places), dtype=np.int64)
+    for r in counted.collect():  # n-grams of one block of items
+        held[r["gram"]] = r["count"]
+    counts = spark.sparkContext.broadcast(held)
+    ids = stage(hits.select("doc_id").distinct(), "seeded")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, mine = sent.value, seeds.value
+        block, common = sent.value, counts.value
         memory: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         for part in batches:
             out = []
             for doc_id, text in zip(part["doc_id"].tolist(), part["text"].tolist()):
                 ids = block.ids(text)
-                spots: dict[int, list[int]] = {}
+                spots: dict[int, list[tuple[int, int]]] = {}
                 for at, gram in zip(*block.hits(ids)):
-                    if gram in mine:
-                        for key, place in block.places[gram]:
-                            spots.setdefault(key, []).append(at - place)
+                    for key, place in block.places[gram]:
+                        spots.setdefault(key, []).append((at - place, int(common[gram])))
                 for key, begins in spots.items():
                     item_id, own = block.items[key]
                     slack = len(own) // 2 + 4
-                    best, begin, end, last = 0, 0, 0, None
-                    for b in sorted(set(begins)):
-                        if last is not None and b - last < slack // 2:
-                            continue  # within the window of the spot before
-                        last = b
+                    places: list[tuple[int, int]] = []  # documents that hold the rarest seed, begin
+                    for b, count in sorted(begins):
+                        if places and b - places[-1][1] < slack // 2:  # within the window of the spot before
+                            places[-1] = (min(count, places[-1][0]), places[-1][1])
+                        else:
+                            places.append((count, b))
+                    best, begin, end = 0, 0, 0
+                    for _, b in sorted(places):
                         lo, hi = max(0, b - slack), min(len(ids), b + len(own) + slack + slack // 2)
                         window = ids[lo:hi]
                         name = (key, window.tobytes())
                         if name not in memory:
+                            if _most(own, window) < max(best, least * 2 * len(own)):
+                                continue
                             if len(memory) > 20_000:
                                 memory.clear()
                             memory[name] = local_alignment(own, window)
                         score, x, y = memory[name]
-                        if score > best:
+                        if score > best or score == best and lo + x < begin:
                             best, begin, end = score, lo + x, lo + y
                     if best >= least * 2 * len(own):
                         out.append((doc_id, item_id, best / (2 * len(own)), len(begins), begin, end))
@@ -214,7 +206,6 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     n: int = 4,
-    rarity: float = 8.0,
     least: float = 0.5,
     block_items: int = 20_000,
 ) -> DataFrame:
@@ -230,6 +221,6 @@ def contaminated(
     out = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        found = _one_block(slim, [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()], n, rarity, least)
+        found = _one_block(slim, [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()], n, least)
         out = found if out is None else out.union(found)
     return out

@@ -378,6 +378,16 @@ def test_leaks(spark, rows):
     assert contaminated(docs.where("false"), bench).collect() == contaminated(docs, bench.where("false")).collect() == []
 
 
+def test_many_edited_copies_and_a_fuller_one_are_all_leaks(spark, rows):
+    item = [f"q{i}" for i in range(38)]
+    edited = ["edited" if i % 6 == 5 else w for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for copies in (9, 60):
+        docs = rows([f"a{i} b{i} " + " ".join(edited) for i in range(copies)] + [" ".join(item), "nothing of the kind", "q1 q2 q3 q4"])
+        out = {r["doc_id"]: r["score"] for r in contaminated(docs, bench).collect()}
+        assert set(out) == set(range(copies + 1)) and out[copies] == 1
+
+
 def test_leaks_match_brute_force_on_the_given_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF).collect()}
