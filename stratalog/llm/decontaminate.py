@@ -1,10 +1,12 @@
 """Benchmark passages in training documents: n-gram seeds, rarest first, then alignment.
 
 Items are cut to word n-grams, and one pass over all documents finds where
-these occur and how many documents hold each. Documents with any of them are
-read again, and the words around each seed are aligned with the item
-(Smith-Waterman: a match 2, a mismatch or a gap -1), places with the rarest
-seed first. A place is passed over only if the words that it shares with the
+these occur and how many documents hold each. A gram may leave out one word
+between its first and last, in documents and in items of fewer than ``gapped``
+words, as these may be edited so that no run of n words is left. Documents with
+any of them are read again, and the words around each seed are aligned with the
+item (Smith-Waterman: a match 2, a mismatch or a gap -1), places with the
+rarest seed first. A place is passed over only if the words that it shares with the
 item are too few for the threshold, or for more than the best score so far.
 No seed is dropped for being frequent: edited copies may be many and hold
 nothing else. The score is the best alignment's over a full match's.
@@ -38,6 +40,14 @@ def word_list(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def gram_shapes(size: int, gap: bool) -> list[tuple[int, ...]]:
+    """Places of a gram's words after its first one; with ``gap``, also those that leave one word out."""
+    out = [tuple(range(size))]
+    if gap:
+        out += [(*range(k), *range(k + 1, size + 1)) for k in range(1, size)]
+    return out
+
+
 def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local score of ``a`` against ``b``, and where it ends and begins in ``b``."""
     row, best, end = np.zeros(len(b) + 1, dtype=np.int64), 0, 0
@@ -67,11 +77,11 @@ def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of benchmark items in the form that the tasks need."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], n: int):
+    def __init__(self, rows: list[tuple[int, str | None]], n: int, gapped: int):
         self.n = n
         self.words: dict[str, int] = {}
         self.items: dict[int, tuple[int, np.ndarray]] = {}
-        self.grams: dict[tuple[int, ...], int] = {}
+        grams: dict[tuple[int, ...], int] = {}
         self.places: list[list[tuple[int, int]]] = []
         for key, (item_id, text) in enumerate(rows):
             ids = [self.words.setdefault(w, len(self.words)) for w in word_list(text)]
@@ -79,19 +89,20 @@ class Items:
                 continue
             self.items[key] = (item_id, np.array(ids))
             size = min(n, len(ids))
-            for at in range(len(ids) - size + 1):
-                gram = self.grams.setdefault(tuple(ids[at : at + size]), len(self.places))
-                if gram == len(self.places):
-                    self.places.append([])
-                self.places[gram].append((key, at))
-        self.sizes = sorted({len(g) for g in self.grams})
-        self.pair_codes = {s: self._codes(s) for s in self.sizes}
-
-    def _codes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        grams = [g for g in self.grams if len(g) == size]
+            for shape in gram_shapes(size, size == n and len(ids) < gapped):
+                for at in range(len(ids) - shape[-1]):
+                    gram = grams.setdefault(tuple([ids[at + j] for j in shape]), len(self.places))
+                    if gram == len(self.places):
+                        self.places.append([])
+                    self.places[gram].append((key, at))
+        self.sizes = sorted({len(g) for g in grams})
+        self.pair_codes = {s: self._codes(grams, s) for s in self.sizes}
+
+    def _codes(self, names: dict[tuple[int, ...], int], size: int) -> tuple[np.ndarray, np.ndarray]:
+        grams = [g for g in names if len(g) == size]
         codes = self._mix(np.array(grams, dtype=np.int64).T)
         order = np.argsort(codes)
-        return codes[order], np.array([self.grams[g] for g in grams])[order]
+        return codes[order], np.array([names[g] for g in grams])[order]
 
     @staticmethod
     def _mix(columns) -> np.ndarray:
@@ -111,21 +122,22 @@ class Items:
         gram_all: list[int] = []
         known = ids >= 0
         for size in self.sizes:
-            if len(ids) < size:
-                continue
-            ok = known[: len(ids) - size + 1].copy()
-            for j in range(1, size):
-                ok &= known[j : len(ids) - size + 1 + j]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
             codes, names = self.pair_codes[size]
-            found = self._mix([ids[at + j] for j in range(size)])
-            place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
-            hit = codes[place] == found
-            for p, g in zip(at[hit].tolist(), names[place[hit]].tolist()):
-                at_all.append(p)
-                gram_all.append(g)
+            for shape in gram_shapes(size, size == self.n):
+                if len(ids) <= shape[-1]:
+                    continue
+                ends = len(ids) - shape[-1]
+                ok = known[:ends].copy()
+                for j in shape[1:]:
+                    ok &= known[j : ends + j]
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                found = self._mix([ids[at + j] for j in shape])
+                place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+                hit = codes[place] == found
+                at_all += at[hit].tolist()
+                gram_all += names[place[hit]].tolist()
         return at_all, gram_all
 
 
@@ -134,9 +146,9 @@ def _most(own: np.ndarray, window: np.ndarray) -> int:
     return 2 * min(int(np.isin(own, window).sum()), int(np.isin(window, own).sum()))
 
 
-def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, least: float) -> DataFrame:
+def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, gapped: int, least: float) -> DataFrame:
     spark = docs.sparkSession
-    items = Items(rows, n)
+    items = Items(rows, n, gapped)
     sent = spark.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,6 +218,7 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     n: int = 4,
+    gapped: int = 48,
     least: float = 0.5,
     block_items: int = 20_000,
 ) -> DataFrame:
@@ -221,6 +234,6 @@ def contaminated(
     out = None
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        found = _one_block(slim, [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()], n, least)
+        found = _one_block(slim, [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()], n, gapped, least)
         out = found if out is None else out.union(found)
     return out

@@ -388,6 +388,17 @@ def test_many_edited_copies_and_a_fuller_one_are_all_leaks(spark, rows):
         assert set(out) == set(range(copies + 1)) and out[copies] == 1
 
 
+def test_leaks_of_short_items_without_a_run_of_four_words(spark, rows):
+    item = [f"q{i}" for i in range(15)]
+    replaced = ["edited" if i % 4 == 3 else w for i, w in enumerate(item)]
+    left_out = [w for i, w in enumerate(item) if i % 4 != 3]
+    put_in = [x for i, w in enumerate(item) for x in ([w, f"more{i}"] if i % 3 == 2 else [w])]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    docs = rows([" ".join(["before"] * 30 + copy + ["after"] * 30) for copy in (replaced, left_out, put_in, ["else"])])
+    got = {r["doc_id"]: round(r["score"] * 30) for r in contaminated(docs, bench).collect()}
+    assert got == {i: plain_alignment(item, copy) for i, copy in enumerate((replaced, left_out, put_in))} and min(got.values()) >= 15
+
+
 def test_leaks_match_brute_force_on_the_given_tables(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontamination(spark, SF).collect()}
