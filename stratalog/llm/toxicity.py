@@ -125,13 +125,13 @@ class Grammar:
         if not text:
             return out, spans
         low = text.lower()
-        done = -1
+        lo, done = 0, -1
         for end, n in self.finder().iter(low):
             begin = end - n + 1
             if begin < done or (begin and low[begin - 1].isalpha()):
                 continue
-            before = [m.end() for m in _CLAUSE.finditer(low, max(0, begin - 2000), begin)]
-            lo = before[-1] if before else max(0, begin - 2000)
+            for mark in _CLAUSE.finditer(low, max(0, done), begin):  # from where the clause before ended
+                lo = mark.end()
             after = _CLAUSE.search(low, end)
             done = after.start() if after else len(low)
             found = self.clause(low[lo:done])

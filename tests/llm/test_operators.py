@@ -305,6 +305,16 @@ def test_grammar_reads_clauses():
     assert kinds("it may hurt. you see") == kinds(None) == kinds("") == []
 
 
+def test_grammar_reads_long_clauses_from_their_beginning():
+    grammar = Grammar({w: 1.0 for w in INSULTS}, {})
+    for first, last in (("you", "an idiot"), ("he said that", "an idiot"), ("not", "an idiot"), ("to you i say", "it may hurt"), ("well", "an idiot")):
+        for before, after in (("", ""), ("an idiot. ", ""), ("a word; ", "! you idiot")):
+            short, long = (before + first + " and" * n + " " + last + after for n in (600 // 4, 5000))
+            evidence, spans = grammar.evidence(long)
+            assert evidence.tolist() == grammar.evidence(short)[0].tolist()
+            assert [long[lo:hi].strip() for lo, hi in spans] == [c.strip() for c in long.replace(";", ".").replace("!", ".").split(".") if grammar.clause(c.strip())]
+
+
 def test_isotonic():
     x, y = isotonic(np.arange(5.0), np.array([0, 1, 0, 2, 1.0]), np.ones(5))
     assert (np.diff(y) > 0).all() and x.tolist() == [0, 1.5, 3.5] and y.tolist() == [0, 0.5, 1.5]
