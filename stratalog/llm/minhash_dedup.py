@@ -5,37 +5,42 @@ The sketch is the ``k`` smallest hashes. The steps:
 
 1. Documents with one and the same set fall together in a grouped minimum;
    only one representative of each set goes on.
-2. Inverted lists of the ``probe`` smallest retained values give pairs of
-   representatives that overlap in at least ``min_shared`` of them. A pair at
-   similarity 0.8 misses that with a chance below 1e-4 for 8 and 2.
-   A list with over ``list_size`` members (a common shingle, or one large
-   group of near copies) is taken apart by pairs of values, which a pair with
-   two shared values must share too. What is still long consists of near
-   copies; those are sorted by the rest of their sketches, and each is paired
-   with its neighbours and with the list's first member.
-3. The sketch of the union estimates the similarity; pairs below the
-   threshold by over ``slack`` standard deviations go.
-4. Exact Jaccard on full sets decides. A spanning choice of pairs is verified
-   first; a pair whose ends are then in one component needs no verification.
-5. Members of long lists that are not one component by then are listed anew by
-   the rarest values of their whole sketches, and compared with every member of
-   other components there, so that the length of a list loses no link.
+2. Inverted lists of retained values generate overlaps. Two sets at the
+   threshold share ``least_shared(k)`` retained values but with a chance of
+   ``miss``; then also one of the ``k - least_shared(k) + 1`` of either that
+   the fewest sketches retain. Only these are listed, so a common shingle
+   makes no list unless a sketch holds little else, and a set whose rare
+   values nobody shares takes no further part.
+3. Each list's members are paired with two of its members: the one with the
+   fewest values of its own, which is as a rule what others were copied from,
+   and the smallest id. The sketch of the union estimates the similarity,
+   exact Jaccard on full sets decides, and linked sets become components.
+4. Lists that are one component by now are done. In the others, members
+   outside the list's largest component meet the members of other components.
+   A pair is estimated inside the join, in one of the lists that it shares,
+   and leaves it only if it is likely; exact Jaccard decides again.
+
+No list is cut short and none is compared in one task: a list goes to as many
+tasks as hold ``block`` members each. What grows faster than the input is the
+number of estimates within a large group of copies that are not linked to its
+largest component; rows written do not.
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing; a text with fewer words than a shingle has its whole word
-sequence as its only shingle; repeated rows are copies of one another; a row
-without an id is not kept; other columns play no part.
+sequence as its only shingle; repeated rows are copies of one another; rows
+with one id and different texts are placed each by its own text; a row without
+an id is not kept, takes the component of its copies and links nothing else;
+other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_ids, small_enough, stage, words
+from .common import ascii_lower, keep_ids, stage, words
 from .components import connected_components
 
 
@@ -68,144 +73,57 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, width: int, k: int
     )
 
 
-def _list_pairs(postings: DataFrame, threshold: int, min_shared: int) -> DataFrame:
-    """Pairs within lists of bounded length whose sizes and probes allow a link."""
-    left, right = postings.alias("l"), postings.alias("r")
-    fits = (
-        (F.col("l.v") == F.col("r.v"))
-        & (F.col("l.rep") < F.col("r.rep"))
-        & (F.col("l.n") * 100 >= F.col("r.n") * threshold)
-        & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
-        & (
-            F.size(F.array_intersect("l.probe", "r.probe"))
-            >= F.least(F.lit(min_shared), F.size("l.probe"), F.size("r.probe"))
-        )
-    )
-    return left.join(right, fits).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-
-
-def _neighbour_pairs(long: DataFrame, reach: int) -> DataFrame:
-    """Pairs of neighbours within long lists sorted by the members' sketches.
-
-    Range partitioning on the list and the sort key splits a long list over
-    tasks; pairs with the list's first member bridge the cuts.
-    """
-    first = long.groupBy("v").agg(F.min("rep").alias("a"))
-    star = long.join(first, "v").where("rep <> a").select("a", F.col("rep").alias("b"))
-
-    def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
-        for part in batches:
-            if not len(part):
-                continue
-            rows = part if tail is None else pd.concat([tail, part], ignore_index=True)
-            old = 0 if tail is None else len(tail)
-            v, rep = rows["v"].to_numpy(), rows["rep"].to_numpy()
-            for step in range(1, reach + 1):
-                lo = max(0, old - step)
-                x, y = slice(lo, len(rows) - step), slice(lo + step, len(rows))
-                if len(rows) > lo + step:
-                    same = v[x] == v[y]
-                    yield pd.DataFrame({"a": rep[x][same], "b": rep[y][same]})
-            tail = rows.tail(reach)
-
-    ranged = long.select("v", "order", "rep").repartitionByRange("v", "order", "rep").sortWithinPartitions("v", "order", "rep")
-    near = ranged.mapInPandas(slide, "a long, b long")
-    return star.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-
-def _estimate(sa: Column, sb: Column, k: int) -> Column:
-    """``(est, m)``: the similarity by the sketch of the union, and its size."""
-    u = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
-    return F.struct(
-        (F.size(F.array_intersect(F.array_intersect(u, sa), sb)) / F.size(u)).alias("est"), F.size(u).alias("m")
-    )
+def least_shared(k: int, threshold: int, miss: float) -> int:
+    """Of ``k`` values of a union's sketch, a pair at the threshold shares fewer with a chance of at most ``miss``."""
+    t, below, c = threshold / 100, 0.0, 0
+    while c < k:
+        below += math.comb(k, c) * t**c * (1 - t) ** (k - c)
+        if below > miss:
+            break
+        c += 1
+    return c
 
 
-def _likely(est: Column, m: Column, threshold: int, slack: float) -> Column:
-    t = threshold / 100
-    return est >= t - slack * F.sqrt(F.lit(t * (1 - t)) / m)
-
-
-def straggler_pairs(
-    rest: DataFrame, labels: DataFrame, reps: DataFrame, threshold: int, slack: float, narrow: int = 16, rows: int = 200_000
-) -> DataFrame:
-    """Pairs among members of long lists ``rest(v, rep)`` whose ends lie in different components.
-
-    Members of lists that are one component by now have nothing to lose. The
-    others are listed anew by the rarest values of their whole sketches: two
-    sets at similarity 0.8 share half of 32 values but with a chance below
-    1e-4, and then also one of the ``k // 2 + 1`` rarest of either. Within
-    such a list the members outside its largest component meet all members of
-    other components; the first ``narrow`` values, by their upper halves,
-    tell most pairs apart there. The side of the stragglers is broadcast only
-    up to ``rows`` rows (about 30 MB); Spark splits hot lists otherwise.
-    """
-    comp = F.coalesce("component", "rep").alias("comp")
-    placed = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", comp)
-    mixed = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("v")
-    placed = placed.join(mixed, "v", "left_semi").select("rep", "comp").distinct()
-    members = stage(placed.join(reps.select("rep", "n", "sketch"), "rep"), "members")
-
-    values = members.select("rep", "comp", F.explode("sketch").alias("x"))
-    counted = values.groupBy("x").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    ranked = values.join(counted, "x").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "x", "lo", "hi"))).alias("all"))
-    listed = ranked.select("rep", F.explode(F.slice("all", 1, (F.size("all") + 1 - F.floor(F.size("all") / 2)).cast("int"))).alias("one"))
-    listed = listed.where("one.lo < one.hi").select("rep", F.col("one.x").alias("x"))
-    brief = members.select(
-        "rep", "comp", "n", F.transform(F.slice("sketch", 1, narrow), lambda x: F.shiftright(x, 32).cast("int")).alias("s")
-    )
-    posted = stage(listed.join(brief, "rep"), "rare")
-    main = posted.groupBy("x", "comp").count().groupBy("x").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    posted = stage(posted.join(main, "x"), "rare2")
-    few = posted.where("comp <> main")
-    few = F.broadcast(few) if small_enough(few, rows) else few
-    found = _estimate(F.col("l.s"), F.col("r.s"), narrow)
-    return (
-        few.alias("l")
-        .join(
-            posted.alias("r"),
-            (F.col("l.x") == F.col("r.x"))
-            & (F.col("l.comp") != F.col("r.comp"))
-            & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
-            & (F.col("l.n") * 100 >= F.col("r.n") * threshold)
-            & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
-            & _likely(found["est"], found["m"], threshold, slack),
-        )
-        .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
-        .distinct()
-    )
+def _fits(na: Column, nb: Column, threshold: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return (na * 100 >= nb * threshold) & (nb * 100 >= na * threshold)
 
 
-def candidate_pairs(
-    reps: DataFrame, threshold: int, probe: int, list_size: int, min_shared: int, reach: int
-) -> tuple[DataFrame, DataFrame]:
-    """``reps(rep, n, sketch)`` to distinct ``(a, b)`` that may be linked.
+def _likely(sa: Column, sb: Column, na: Column, nb: Column, wide: int, threshold: int, miss: float) -> Column:
+    """Whether the sketch of the union lets a pair be linked.
 
-    The second table, ``(v, rep)``, holds the lists that are not compared pair by pair.
+    Sets within ``wide`` values are sketched whole, so that the estimate is
+    their similarity, less what two values with one upper half may take away.
     """
-    slim = reps.select("rep", "n", F.slice("sketch", 1, probe).alias("probe"))
-    posted = slim.select("rep", "n", "probe", F.explode("probe").alias("v"))
-    lengths = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    posted = stage(posted.join(lengths, "v"), "postings")
-    out = _list_pairs(posted.where(F.col("c") <= list_size), threshold, min_shared)
-
-    # a set with a single probe value can only match its own copies, which are gone
-    long = (
-        posted.where(F.col("c") > list_size)
-        .select("rep", "n", "probe", "v", F.explode("probe").alias("u"))
-        .where("u <> v")
-        .select("rep", "n", "probe", F.xxhash64(F.least("v", "u"), F.greatest("v", "u")).alias("v"), F.xxhash64("u", "v").alias("turn"))
-        .dropDuplicates(["rep", "v"])
+    union = F.slice(F.array_sort(F.array_union(sa, sb)), 1, wide)
+    shared = F.size(F.array_intersect(F.array_intersect(union, sa), sb))
+    whole = (na <= wide) & (nb <= wide)
+    both = F.size(F.array_intersect(sa, sb)) + 1
+    return F.when(whole, both * 100 >= threshold * (na + nb - both)).otherwise(shared >= least_shared(wide, threshold, miss))
+
+
+def rare_lists(reps: DataFrame, threshold: int, k: int, miss: float) -> DataFrame:
+    """``reps(rep, n, sketch)`` to lists ``(v, rep, n, c, head, head_n, low, low_n)`` of ``c`` > 1 members."""
+    values = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("v"))
+    held = values.groupBy("v").agg(F.count("*").cast("int").alias("f")).where("f > 1")
+    ranked = values.join(held, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("all"))
+    size = F.least("n", F.lit(k))
+    # a set of fewer than threshold * k values is linked with whole sketches only; others share at least what sketches do
+    exact = F.ceil(F.col("n") * threshold / 100).cast("int")
+    least = F.when(F.col("n") * 100 < threshold * k, exact).otherwise(F.lit(least_shared(k, threshold, miss)))
+    own = size - F.size("all")  # values that no other sketch retains are the rarest
+    listed = ranked.select("rep", "n", own.alias("own"), (size - least + 1 - own).alias("slots"), "all").where("slots > 0")
+    listed = listed.select("rep", "n", "own", F.explode(F.slice("all", F.lit(1), F.col("slots"))).alias("one")).select(
+        "rep", "n", "own", F.col("one.v").alias("v")
     )
-    lengths = long.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    paired = stage(long.join(lengths, "v"), "postings2")
-    out = out.union(_list_pairs(paired.where(F.col("c") <= list_size), threshold, min_shared))
-    rest = paired.where(F.col("c") > list_size)
-    rest = rest.select(
-        "v", "rep", F.concat_ws(",", F.transform(F.sort_array(F.transform("probe", lambda x: F.xxhash64(x, "v"))), lambda x: F.hex(x))).alias("order")
+    listed = stage(listed, "listed")
+    lengths = (
+        listed.groupBy("v")
+        .agg(F.count("*").alias("c"), F.min(F.struct("own", "rep", "n")).alias("head"), F.min(F.struct("rep", "n")).alias("low"))
+        .where("c > 1")
+        .select("v", "c", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"), F.col("low.rep").alias("low"), F.col("low.n").alias("low_n"))
     )
-    return out.union(_neighbour_pairs(rest, reach)).distinct(), rest.select("v", "rep")
+    return stage(listed.select("v", "rep", "n").join(lengths, "v"), "lists")
 
 
 def near_duplicates(
@@ -215,74 +133,66 @@ def near_duplicates(
     width: int = 5,
     threshold: int = 80,
     k: int = 32,
-    probe: int = 8,
-    list_size: int = 64,
-    min_shared: int = 2,
-    reach: int = 3,
-    slack: float = 4.0,
+    wide: int = 256,
+    miss: float = 1e-5,
+    block: int = 1024,
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Linked: 100 * |intersection| >= threshold * |union| on full shingle sets.
-    ``component_id`` is the smallest id reachable by links.
+    ``component_id`` is the smallest id reachable by links. ``wide`` values of
+    either set estimate a pair. A pair right at the threshold is missed with a
+    chance of at most ``miss`` by the lists and as much by the estimate.
     """
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold must be a percentage above 0")
     sk = stage(sketch_table(docs, id_col, text_col, width, k), "sketches")
     reps = (
         sk.where("n_shingles > 0")
         .groupBy("k1", "k2")
         .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
-    reps = stage(reps, "sets")
-
-    pairs, rest = candidate_pairs(reps, threshold, probe, list_size, min_shared, reach)
-    side = reps.select("rep", "n", "sketch")
+    reps = stage(reps.where("rep IS NOT NULL"), "sets")
+    lists = rare_lists(reps.select("rep", "n", "sketch"), threshold, k, miss)
 
-    def estimated(some: DataFrame) -> DataFrame:
-        scored = (
-            some.join(side.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(side.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", _estimate(F.col("sa"), F.col("sb"), k).alias("e"))
-            .select("a", "b", "e.est", "e.m")
-        )
-        return scored.where(_likely(F.col("est"), F.col("m"), threshold, slack))
-
-    likely = stage(estimated(pairs), "likely")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def full_sets(some: DataFrame) -> DataFrame:
-        ids = some.select(F.col("a").alias("id")).union(some.select(F.col("b").alias("id"))).distinct()
-        needed = keep_ids(slim, stage(ids, "ids"), "id")
-        return stage(shingle_sets(needed, "id", "text", width).dropDuplicates(["id"]), "full")
-
-    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
-        full = (
-            some.select("a", "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("xa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("xb")), "b")
-            .withColumn("both", F.size(F.array_intersect("xa", "xb")))
-        )
-        return full.where(F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-    sets = full_sets(likely)
-    # one pair for each node first; most others then lie within a component
-    spanning = likely.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    first = stage(connected_components(verified(spanning, sets)), "first")
-    open_ = (
-        likely.select("a", "b")
-        .join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        .where("ca <> cb")
+    some = stage(lists.select(F.col("rep").alias("id")).distinct(), "some")
+    full = shingle_sets(keep_ids(slim, some, "id"), "id", "text", width).distinct()
+    full = stage(
+        full.select(
+            F.col("id").alias("rep"),
+            F.col("n_shingles").alias("n"),
+            F.transform(F.slice("shingles", 1, wide), lambda x: F.shiftright(x, 32).cast("int")).alias("s"),
+            "shingles",
+        ),
+        "full",
+    ).where("n > 0")  # not sooner: pushed below, the filter would split each text once for each of its words
+
+    def ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
+        """``pairs(a, b)`` with the columns of ``side`` for both, of the sets that occur alone."""
+        out = pairs
+        for end in ("a", "b"):
+            mine = keep_ids(side, pairs.select(F.col(end).alias("rep")).distinct(), "rep")
+            out = out.join(mine.select(F.col("rep").alias(end), *[F.col(c).alias(c + end) for c in side.columns if c != "rep"]), end)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        found = ends(pairs, full.select("rep", "n", "shingles")).withColumn("both", F.size(F.array_intersect("shinglesa", "shinglesb")))
+        return found.where(F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+    def star(head: str) -> DataFrame:
+        near = lists.where((F.col("rep") != F.col(head)) & _fits(F.col("n"), F.col(head + "_n"), threshold))
+        return near.select(F.least("rep", head).alias("a"), F.greatest("rep", head).alias("b"))
+
+    stars = stage(star("head").union(star("low")).distinct(), "stars")
+    likely = ends(stars, full.select("rep", "n", "s")).where(
+        _likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), wide, threshold, miss)
     )
-    more = verified(stage(open_, "open"), sets)
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    first = stage(connected_components(verified(stage(likely.select("a", "b").distinct(), "likely"))), "first")
+
+    rest = stage(_open_pairs(lists.select("v", "rep", "n"), first, full.select("rep", "s"), wide, threshold, miss, block), "open")
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest))
     labels = connected_components(links)
-    if not rest.isEmpty():
-        labels = stage(labels, "labels")
-        late = stage(estimated(straggler_pairs(rest, labels, reps, threshold, slack)), "late")
-        if not late.isEmpty():
-            kept = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = connected_components(kept.union(verified(late, full_sets(late))))
 
     named = (
         reps.select("k1", "k2", "rep")
@@ -296,3 +206,40 @@ def near_duplicates(
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(False)))
         .withColumnRenamed("id", id_col)
     )
+
+
+def _open_pairs(
+    lists: DataFrame, labels: DataFrame, sketches: DataFrame, wide: int, threshold: int, miss: float, block: int
+) -> DataFrame:
+    """Likely pairs ``(a, b)`` whose ends share a list and lie in different components.
+
+    A pair that shares several such lists is looked at in one of them, chosen
+    by a hash of both ids, which spreads a large group over all its lists.
+    """
+    placed = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "v", "rep", "n", F.coalesce("component", "rep").alias("comp")
+    )
+    placed = stage(placed, "placed")
+    crowd = placed.groupBy("v", "comp").agg(F.count("*").alias("c"))
+    mixed = crowd.groupBy("v").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    mixed = stage(mixed.where("comps > 1").select("v", "main", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "mixed")
+    inside = placed.join(mixed, "v")
+    members = inside.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in"))
+    members = members.join(sketches, "rep").withColumn("at", F.col("in.v"))
+    posted = stage(members.select("rep", "n", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "comp", "s", "at", "one.*"), "members")
+
+    right = posted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    left = posted.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = F.array_intersect("l.at", "r.at")
+    turn = F.pmod(F.xxhash64(F.least("l.rep", "r.rep"), F.greatest("l.rep", "r.rep")), F.size(both)).cast("int")
+    found = left.alias("l").join(
+        right.alias("r"),
+        (F.col("l.v") == F.col("r.v"))
+        & (F.col("l.part") == F.col("r.part"))
+        & (F.col("l.comp") != F.col("r.comp"))
+        & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
+        & _fits(F.col("l.n"), F.col("r.n"), threshold)
+        & (F.element_at(both, turn + 1) == F.col("l.v"))
+        & _likely(F.col("l.s"), F.col("r.s"), F.col("l.n"), F.col("r.n"), wide, threshold, miss),
+    )
+    return found.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))

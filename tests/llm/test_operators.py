@@ -101,8 +101,8 @@ def test_near_copies_match_brute_force(rows, width):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("list_size, reach", [(4, 1), (2, 0)])
-def test_long_lists_lose_no_link(rows, list_size, reach):
+@pytest.mark.parametrize("block, wide", [(1024, 256), (4, 256), (8, 64)])
+def test_long_lists_lose_no_link(rows, block, wide):
     """Drifting copies: neighbours are linked, while most members of a long list are not."""
     rng = random.Random(9)
     base, texts = [f"w{i}" for i in range(90)], []
@@ -113,7 +113,7 @@ def test_long_lists_lose_no_link(rows, list_size, reach):
         base[rng.randrange(20, 90)] = f"n{step}"
         texts.append(" ".join(base))
     sets, links = brute_near_copies(texts, 2)
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(rows(texts), width=2, list_size=list_size, reach=reach).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(rows(texts), width=2, block=block, wide=wide).collect()}
     want = components(len(texts), links)
     assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
 
