@@ -13,12 +13,15 @@ The sketch is the ``k`` smallest hashes. The steps:
    values nobody shares takes no further part.
 3. Each list's members are paired with two of its members: the one with the
    fewest values of its own, which is as a rule what others were copied from,
-   and the smallest id. The sketch of the union estimates the similarity,
-   exact Jaccard on full sets decides, and linked sets become components.
+   and the smallest id. Of pairs that share two lists the sketch of the union
+   estimates the similarity, exact Jaccard on full sets decides, and linked
+   sets become components.
 4. Lists that are one component by now are done. In the others, members
    outside the list's largest component meet the members of other components.
-   A pair is estimated inside the join, in one of the lists that it shares,
-   and leaves it only if it is likely; exact Jaccard decides again.
+   A pair is estimated inside the join, in one of the lists that it shares:
+   first to find the members that are close to another at all, then by wider
+   sketches of these; only likely pairs leave the join, and exact Jaccard
+   decides again.
 
 No list is cut short and none is compared in one task: a list goes to as many
 tasks as hold ``block`` members each. What grows faster than the input is the
@@ -84,6 +87,11 @@ def least_shared(k: int, threshold: int, miss: float) -> int:
     return c
 
 
+def _upper(hashes: Column) -> Column:
+    """The upper halves of sorted hashes, in the same order and half the space."""
+    return F.transform(hashes, lambda x: F.shiftright(x, 32).cast("int"))
+
+
 def _fits(na: Column, nb: Column, threshold: int) -> Column:
     """Whether sets of these sizes can be linked."""
     return (na * 100 >= nb * threshold) & (nb * 100 >= na * threshold)
@@ -154,29 +162,27 @@ def near_duplicates(
     )
     reps = stage(reps.where("rep IS NOT NULL"), "sets")
     lists = rare_lists(reps.select("rep", "n", "sketch"), threshold, k, miss)
-
+    brief = reps.select("rep", "n", _upper(F.col("sketch")).alias("s"))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    some = stage(lists.select(F.col("rep").alias("id")).distinct(), "some")
-    full = shingle_sets(keep_ids(slim, some, "id"), "id", "text", width).distinct()
-    full = stage(
-        full.select(
-            F.col("id").alias("rep"),
-            F.col("n_shingles").alias("n"),
-            F.transform(F.slice("shingles", 1, wide), lambda x: F.shiftright(x, 32).cast("int")).alias("s"),
-            "shingles",
-        ),
-        "full",
-    ).where("n > 0")  # not sooner: pushed below, the filter would split each text once for each of its words
+    repeated = not sk.groupBy("id").count().where("count > 1").isEmpty()
+
+    def full_sets(ids: DataFrame, label: str) -> DataFrame:
+        """``(rep, n, s, shingles)`` of some ids, ``s`` being the wide sketch."""
+        full = shingle_sets(keep_ids(slim, ids.select(F.col("rep").alias("id")), "id"), "id", "text", width)
+        full = full.distinct() if repeated else full  # equal rows would multiply pairs
+        wider = _upper(F.slice("shingles", 1, wide)).alias("s")
+        # filtered once written: pushed below, the filter would split each text once for each of its words
+        return stage(full.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), wider, "shingles"), label).where("n > 0")
 
     def ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
-        """``pairs(a, b)`` with the columns of ``side`` for both, of the sets that occur alone."""
+        """``pairs(a, b)`` with the columns of ``side`` for both."""
         out = pairs
         for end in ("a", "b"):
             mine = keep_ids(side, pairs.select(F.col(end).alias("rep")).distinct(), "rep")
             out = out.join(mine.select(F.col("rep").alias(end), *[F.col(c).alias(c + end) for c in side.columns if c != "rep"]), end)
         return out
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
         found = ends(pairs, full.select("rep", "n", "shingles")).withColumn("both", F.size(F.array_intersect("shinglesa", "shinglesb")))
         return found.where(F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -184,14 +190,21 @@ def near_duplicates(
         near = lists.where((F.col("rep") != F.col(head)) & _fits(F.col("n"), F.col(head + "_n"), threshold))
         return near.select(F.least("rep", head).alias("a"), F.greatest("rep", head).alias("b"))
 
-    stars = stage(star("head").union(star("low")).distinct(), "stars")
-    likely = ends(stars, full.select("rep", "n", "s")).where(
-        _likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), wide, threshold, miss)
-    )
-    first = stage(connected_components(verified(stage(likely.select("a", "b").distinct(), "likely"))), "first")
-
-    rest = stage(_open_pairs(lists.select("v", "rep", "n"), first, full.select("rep", "s"), wide, threshold, miss, block), "open")
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(rest))
+    # what shares two lists with a head; anything else that is linked is found among the open lists
+    stars = stage(star("head").union(star("low")).groupBy("a", "b").count().where("count > 1").select("a", "b"), "stars")
+    likely = ends(stars, brief).where(_likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, threshold, miss))
+    likely = stage(likely.select("a", "b").distinct(), "likely")
+    some = stage(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "some")
+    first = stage(connected_components(verified(likely, full_sets(some, "full"))), "first")
+
+    posted = _open_members(lists.select("v", "rep", "n"), first, brief.select("rep", "s"), block)
+    left, right, likely = _open_join(posted, k, threshold, miss)
+    near = left.join(right, likely, "left_semi").select("rep").union(right.join(left, likely, "left_semi").select("rep"))
+    near = stage(near.distinct(), "near")
+    full = full_sets(near, "full2")
+    left, right, likely = _open_join(posted.drop("s").join(full.select("rep", "n", "s"), ["rep", "n"]), wide, threshold, miss)
+    rest = left.join(right, likely).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(stage(rest, "open"), full))
     labels = connected_components(links)
 
     named = (
@@ -208,13 +221,10 @@ def near_duplicates(
     )
 
 
-def _open_pairs(
-    lists: DataFrame, labels: DataFrame, sketches: DataFrame, wide: int, threshold: int, miss: float, block: int
-) -> DataFrame:
-    """Likely pairs ``(a, b)`` whose ends share a list and lie in different components.
+def _open_members(lists: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """``(rep, n, comp, s, at, v, main, blocks)``: the members of lists that are not one component.
 
-    A pair that shares several such lists is looked at in one of them, chosen
-    by a hash of both ids, which spreads a large group over all its lists.
+    ``at`` has all such lists of a member; ``main`` is the list's largest component.
     """
     placed = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "v", "rep", "n", F.coalesce("component", "rep").alias("comp")
@@ -222,24 +232,30 @@ def _open_pairs(
     placed = stage(placed, "placed")
     crowd = placed.groupBy("v", "comp").agg(F.count("*").alias("c"))
     mixed = crowd.groupBy("v").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    mixed = stage(mixed.where("comps > 1").select("v", "main", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "mixed")
-    inside = placed.join(mixed, "v")
-    members = inside.groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in"))
+    mixed = mixed.where("comps > 1").select("v", "main", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    members = placed.join(mixed, "v").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in"))
     members = members.join(sketches, "rep").withColumn("at", F.col("in.v"))
-    posted = stage(members.select("rep", "n", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "comp", "s", "at", "one.*"), "members")
+    return stage(members.select("rep", "n", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "comp", "s", "at", "one.*"), "members")
+
 
-    right = posted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    left = posted.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _open_join(posted: DataFrame, size: int, threshold: int, miss: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Members outside a list's largest component (l), all members (r), and when to join them.
+
+    Each pair that shares lists is looked at in one of them, chosen by a hash
+    of both ids, which spreads a large group over all its lists. A list is
+    dealt to ``blocks`` tasks; only the members outside its largest component
+    are sent to each.
+    """
+    right = posted.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).alias("r")
+    left = posted.where("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("l")
     both = F.array_intersect("l.at", "r.at")
     turn = F.pmod(F.xxhash64(F.least("l.rep", "r.rep"), F.greatest("l.rep", "r.rep")), F.size(both)).cast("int")
-    found = left.alias("l").join(
-        right.alias("r"),
+    return left, right, (
         (F.col("l.v") == F.col("r.v"))
         & (F.col("l.part") == F.col("r.part"))
         & (F.col("l.comp") != F.col("r.comp"))
         & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
         & _fits(F.col("l.n"), F.col("r.n"), threshold)
         & (F.element_at(both, turn + 1) == F.col("l.v"))
-        & _likely(F.col("l.s"), F.col("r.s"), F.col("l.n"), F.col("r.n"), wide, threshold, miss),
+        & _likely(F.col("l.s"), F.col("r.s"), F.col("l.n"), F.col("r.n"), size, threshold, miss)
     )
-    return found.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
