@@ -57,31 +57,27 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, s
     )
 
 
-def _runs(dropped: Column, n_lines: Column) -> Column:
+def _kept_runs(gone: Column, n_lines: Column) -> Column:
+    """``(begin, length)`` of the runs of kept lines, before, between and after the runs of dropped ones.
+
+    Neighbours are read by index, so that the work grows with the lines of a
+    text. Only the first and the last run can be empty.
+    """
+    begins = F.filter(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1))
+    ends = F.filter(gone, lambda x, i: (i == F.size(gone) - 1) | (F.get(gone, i + 1) != x + 1))
+    from_ = F.concat(F.array(F.lit(0)), F.transform(ends, lambda x: x + 1))
+    return F.zip_with(from_, F.concat(begins, F.array(n_lines)), lambda a, b: F.struct(a.alias("begin"), (b - a).alias("length")))
+
+
+def _keep_runs(kept: Column) -> Column:
     """A bitmap of lines as run lengths: kept, dropped, kept, and so on, from 0."""
-    start = F.struct(F.array().cast("array<int>").alias("runs"), F.lit(0).alias("next"), F.lit(0).alias("open"))
-
-    def step(acc: Column, pos: Column) -> Column:
-        joined = (pos == acc["next"]) & (F.size(acc["runs"]) > 0)
-        return F.when(
-            joined, F.struct(acc["runs"].alias("runs"), (pos + 1).alias("next"), (acc["open"] + 1).alias("open"))
-        ).otherwise(
-            F.struct(
-                F.concat(
-                    acc["runs"],
-                    F.when(F.size(acc["runs"]) > 0, F.array(acc["open"])).otherwise(F.array().cast("array<int>")),
-                    F.array(pos - acc["next"]),
-                ).alias("runs"),
-                (pos + 1).alias("next"),
-                F.lit(1).alias("open"),
-            )
-        )
-
-    def finish(acc: Column) -> Column:
-        closed = F.when(F.size(acc["runs"]) > 0, F.concat(acc["runs"], F.array(acc["open"]))).otherwise(acc["runs"])
-        return F.concat(closed, F.array(n_lines - acc["next"]))
-
-    return F.aggregate(dropped, start, step, finish)
+    pairs = F.transform(
+        kept,
+        lambda x, i: F.when(i == 0, F.array(x["length"])).otherwise(
+            F.array(x["begin"] - F.get(kept, i - 1)["begin"] - F.get(kept, i - 1)["length"], x["length"])
+        ),
+    )
+    return F.flatten(pairs)
 
 
 def dropped_positions(
@@ -115,16 +111,17 @@ def line_dedup(
         F.coalesce(F.split("text", "\n"), F.array(F.lit(""))).alias("lines"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("gone"),
     )
+    joined = joined.withColumn("kept", _kept_runs(F.col("gone"), F.size("lines")))
     # by data frame and not by name, as a result may bear the name of a column read here
-    text, lines, gone = joined["text"], joined["lines"], joined["gone"]
+    text, lines, gone, runs = joined["text"], joined["lines"], joined["gone"], joined["kept"]
     kept = F.when(F.size(gone) == 0, F.coalesce(text, F.lit(""))).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+        F.array_join(F.flatten(F.transform(runs, lambda x: F.slice(lines, x["begin"] + 1, x["length"]))), "\n")
     )
     named = {id_col: joined["key"], text_col: text} | {c: joined["row"].getField(c) for c in rest}
     return joined.select(
         *[named[c].alias(c) for c in docs.columns if c in named],
         F.size(lines).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
-        _runs(gone, F.size(lines)).alias("keep_runs"),
+        _keep_runs(runs).alias("keep_runs"),
         kept.alias("kept_text"),
     )
