@@ -49,6 +49,7 @@ class PieceCodec:
         self.spaced, self.limit = style == "spaced", limit
         self.known: dict[str, bytes] = {"": b""}
         self.marks: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = {}
         self.symbols = byte_symbols()
 
     @classmethod
@@ -97,7 +98,7 @@ class PieceCodec:
         known, lead = self.known, " " if self.spaced else ""
         if len(known) > self.limit:
             shrink(known)
-        marked = [p for p in pieces if p[-1:] in _MARKS and p[-2:-1].isalpha()]
+        marked = [p for p in pieces if p[-1:] in _MARKS and self._ends_in_letter(p[-2:-1])]
         model, rest = self.tokenizer.model, []
         for p in pieces.difference(marked).union([p[:-1] for p in marked]):
             if p not in known:
@@ -113,6 +114,15 @@ class PieceCodec:
         for p in marked:
             known[p] = known[p[:-1]] + self._mark(p[-1])
 
+    def _ends_in_letter(self, char: str) -> bool:
+        """Whether a letter still ends in one when the vocabulary has normalised it: a combining mark joins marks after it."""
+        found = self.letters.get(char)
+        if found is None:
+            normalizer = self.tokenizer.normalizer
+            plain = normalizer.normalize_str(char) if normalizer else char
+            found = self.letters[char] = char.isalpha() and plain[-1:].isalpha()
+        return found
+
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
             self.marks[mark] = self.whole(mark)
