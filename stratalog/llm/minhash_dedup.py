@@ -7,7 +7,7 @@ The sketch is the ``k`` smallest hashes. The steps:
    only one representative of each set goes on.
 2. Inverted lists of retained values generate overlaps. Two sets at the
    threshold share ``least_shared(k)`` retained values but with a chance of
-   ``miss``; then also one of the ``k - least_shared(k) + 1`` of either that
+   ``miss``; then also two of the ``k - least_shared(k) + 2`` of either that
    the fewest sketches retain. Only these are listed, so a common shingle
    makes no list unless a sketch holds little else, and a set whose rare
    values nobody shares takes no further part.
@@ -110,6 +110,12 @@ def _likely(sa: Column, sb: Column, na: Column, nb: Column, wide: int, threshold
     return F.when(whole, both * 100 >= threshold * (na + nb - both)).otherwise(shared >= least_shared(wide, threshold, miss))
 
 
+def _lists_shared(n: Column, threshold: int, k: int, miss: float) -> Column:
+    """Lists that a set of ``n`` values shares with any that it is linked with: two, or one if it shares no two values."""
+    two = least_shared(k, threshold, miss) > 1
+    return F.when((n * threshold > 100) & F.lit(two), 2).otherwise(1)
+
+
 def rare_lists(reps: DataFrame, threshold: int, k: int, miss: float) -> DataFrame:
     """``reps(rep, n, sketch)`` to lists ``(v, rep, n, c, head, head_n, low, low_n)`` of ``c`` > 1 members."""
     values = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("v"))
@@ -120,7 +126,7 @@ def rare_lists(reps: DataFrame, threshold: int, k: int, miss: float) -> DataFram
     exact = F.ceil(F.col("n") * threshold / 100).cast("int")
     least = F.when(F.col("n") * 100 < threshold * k, exact).otherwise(F.lit(least_shared(k, threshold, miss)))
     own = size - F.size("all")  # values that no other sketch retains are the rarest
-    listed = ranked.select("rep", "n", own.alias("own"), (size - least + 1 - own).alias("slots"), "all").where("slots > 0")
+    listed = ranked.select("rep", "n", own.alias("own"), (size - least + _lists_shared(F.col("n"), threshold, k, miss) - own).alias("slots"), "all").where("slots > 0")
     listed = listed.select("rep", "n", "own", F.explode(F.slice("all", F.lit(1), F.col("slots"))).alias("one")).select(
         "rep", "n", "own", F.col("one.v").alias("v")
     )
@@ -197,7 +203,8 @@ def near_duplicates(
     some = stage(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "some")
     first = stage(connected_components(verified(likely, full_sets(some, "full"))), "first")
 
-    posted = _open_members(lists.select("v", "rep", "n"), first, brief.select("rep", "s"), block)
+    lists = lists.select("v", "rep", "n", _lists_shared(F.col("n"), threshold, k, miss).alias("need"))
+    posted = _open_members(lists, first, brief.select("rep", "s"), block)
     left, right, likely = _open_join(posted, k, threshold, miss)
     near = left.join(right, likely, "left_semi").select("rep").union(right.join(left, likely, "left_semi").select("rep"))
     near = stage(near.distinct(), "near")
@@ -222,20 +229,22 @@ def near_duplicates(
 
 
 def _open_members(lists: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """``(rep, n, comp, s, at, v, main, blocks)``: the members of lists that are not one component.
+    """``(rep, n, need, comp, s, at, v, main, blocks)``: the members of lists that are not one component.
 
     ``at`` has all such lists of a member; ``main`` is the list's largest component.
     """
     placed = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "v", "rep", "n", F.coalesce("component", "rep").alias("comp")
+        "v", "rep", "n", "need", F.coalesce("component", "rep").alias("comp")
     )
     placed = stage(placed, "placed")
     crowd = placed.groupBy("v", "comp").agg(F.count("*").alias("c"))
     mixed = crowd.groupBy("v").agg(F.sum("c").alias("c"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
     mixed = mixed.where("comps > 1").select("v", "main", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    members = placed.join(mixed, "v").groupBy("rep", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in"))
-    members = members.join(sketches, "rep").withColumn("at", F.col("in.v"))
-    return stage(members.select("rep", "n", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "comp", "s", "at", "one.*"), "members")
+    members = placed.join(mixed, "v").groupBy("rep", "n", "need", "comp").agg(
+        F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in")
+    )
+    members = members.where("size(in) >= need").join(sketches, "rep").withColumn("at", F.col("in.v"))
+    return stage(members.select("rep", "n", "need", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "need", "comp", "s", "at", "one.*"), "members")
 
 
 def _open_join(posted: DataFrame, size: int, threshold: int, miss: float) -> tuple[DataFrame, DataFrame, Column]:
@@ -256,6 +265,7 @@ def _open_join(posted: DataFrame, size: int, threshold: int, miss: float) -> tup
         & (F.col("l.comp") != F.col("r.comp"))
         & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.rep") < F.col("r.rep")))
         & _fits(F.col("l.n"), F.col("r.n"), threshold)
+        & (F.size(both) >= F.least("l.need", "r.need"))
         & (F.element_at(both, turn + 1) == F.col("l.v"))
         & _likely(F.col("l.s"), F.col("r.s"), F.col("l.n"), F.col("r.n"), size, threshold, miss)
     )
