@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from stratalog.sources.shared import shared_dir
 #: White space that separates words and is stripped from lines: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,12 +26,31 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: later work re-reads committed files, so a lost
     executor costs a re-read and never a re-computation of what led here.
+    Shuffle files of the write are removed as soon as it is committed.
     """
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/stratalog/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``mapInPandas`` with the columns ``ids`` as strings inside.
+
+    pandas turns a batch of whole numbers that holds a null into doubles, and
+    ids above 2**53 would change.
+    """
+    into = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns})
+    for c in ids:
+        schema = schema.replace(f"{c} long", f"{c} string")
+    return into.mapInPandas(run, schema).withColumns({c: F.col(c).cast("long") for c in ids})
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, _UPPER, _LOWER)

@@ -17,7 +17,8 @@ benchmark takes more passes, never a larger broadcast.
 Defined cases: a null text, or one without words, matches nothing; items with
 fewer words than an n-gram use all their words as the n-gram; items without
 words match nothing; equal items are reported each; repeated rows are reported
-each; documents without an id are not reported; other columns play no part.
+each; documents without an id are not reported, items without one are, with a
+null; other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, keep_ids, stage
+from .common import bound_batches, keep_ids, map_rows, stage
 
 _WORD = re.compile(r"\w+")
 RESULT = "doc_id long, item_id long, score double, n_seeds int, word_start int, word_end int"
@@ -161,7 +162,7 @@ def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, gapp
                     out.append((doc_id, sorted(set(grams))))
             yield pd.DataFrame(out, columns=["doc_id", "grams"])
 
-    hits = stage(docs.mapInPandas(find, "doc_id long, grams array<int>"), "hits")
+    hits = stage(map_rows(docs, find, "doc_id long, grams array<int>"), "hits")
     counted = hits.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     held = np.zeros(len(items.places), dtype=np.int64)
     for r in counted.collect():  # n-grams of one block of items
@@ -204,10 +205,10 @@ def _one_block(docs: DataFrame, rows: list[tuple[int, str | None]], n: int, gapp
                         if score > best or score == best and lo + x < begin:
                             best, begin, end = score, lo + x, lo + y
                     if best >= least * 2 * len(own):
-                        out.append((doc_id, item_id, best / (2 * len(own)), len(begins), begin, end))
+                        out.append((doc_id, None if item_id is None else str(item_id), best / (2 * len(own)), len(begins), begin, end))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
 
-    return keep_ids(docs, ids, "doc_id").mapInPandas(align, RESULT)
+    return map_rows(keep_ids(docs, ids, "doc_id"), align, RESULT, ("doc_id", "item_id"))
 
 
 def contaminated(

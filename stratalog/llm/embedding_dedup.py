@@ -80,7 +80,7 @@ def vector_groups(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
     )
     named = stage(named, "vectors")
     groups = named.where("fine").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"))
-    return named.select("id", "fine", "h1", "h2"), stage(groups, "groups")
+    return named.select("id", "fine", "h1", "h2"), stage(groups.where("rep IS NOT NULL"), "groups")
 
 
 def _place(groups: DataFrame, k: int, tables: int, threshold: float, seed: int) -> DataFrame:

@@ -10,22 +10,23 @@ The machines are fitted on the driver to a bounded sample: about
 the id. Every row is scored on its whole text.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score
-0; null labels are not learned from; without labels all texts are ``und``;
+0; null labels and rows without an id are not learned from, and of rows with
+one id the smallest text is; without labels all texts are ``und``;
 with one language it is the answer for all; repeated rows are scored alike;
 other columns play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, map_rows
 from .learning import bounded_sample, logistic, sigmoid
 
 # Families of common language codes; any other code is a family of its own.
@@ -38,7 +39,7 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case, other ASCII as a separator, all else as it is.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SIZE = 4096
@@ -168,4 +169,4 @@ def identify(
             yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": names, "score": scores})
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(predict, "doc_id long, lang_pred string, score double")
+    return map_rows(slim, predict, "doc_id long, lang_pred string, score double")

@@ -41,14 +41,17 @@ def partition_sum(df: DataFrame, fold: Callable[[pd.DataFrame], np.ndarray], siz
 def bounded_sample(df: DataFrame, id_col: str, by: str, bound: int) -> DataFrame:
     """About ``bound`` rows of each value of ``by``, chosen by a hash of the id.
 
-    All rows of a value are kept if it has no more than ``bound``. What is
-    chosen depends on ids alone, so that a re-run gives the same sample.
+    All ids of a value are kept if it has no more rows than ``bound``; of rows
+    with one id the smallest is, and rows without an id are not. What is chosen
+    depends on the rows alone, so that a re-run gives the same sample.
     """
     counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = df.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 20)) < share * (1 << 20)))
+    rest = [c for c in df.columns if c != id_col]
+    return chosen.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("row")).select(id_col, "row.*").select(*df.columns)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,4 +89,4 @@ def labelled(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, fo
     known = labels.where(F.col(label_col).isNotNull() & fold).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")
     )
-    return rows.join(known.dropDuplicates(["doc_id"]), "doc_id")
+    return rows.join(known.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id")

@@ -10,7 +10,8 @@ first; were all of a packer's pieces, more long ones than open bins would close
 most bins before the first short piece comes.
 
 Defined cases: a null or empty text is one piece that holds the end id alone;
-a repeated row is packed as often as it occurs; other columns play no part.
+a repeated row is packed as often as it occurs, and so is a row without an id,
+which stays null; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stage
+from .common import bound_batches, map_rows, stage
 from .tokens import PieceCodec
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -79,7 +80,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int, id_c
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, _PIECES)
+    return map_rows(slim, run, _PIECES)
 
 
 def _runs(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
@@ -108,7 +109,7 @@ def pack(pieces: DataFrame, size: int, open_bins: int, pieces_per_task: int = 65
 
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.repartition(n, mixed).sortWithinPartitions(mixed, "doc_id", "piece", "ids_crc32")
-    return dealt.mapInPandas(run, _PIECES + ", sequence_id long, offset long")
+    return map_rows(dealt, run, _PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(

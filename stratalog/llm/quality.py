@@ -9,7 +9,8 @@ monotone map from score to the chance of label 1.
 Defined cases: a null or empty text has zero statistics and gets a score like
 any other; labels that are null are not learned from; without labels every
 score is 0.5; repeated rows are scored alike, and a repeated label counts
-once; other columns play no part.
+once, the smallest of several for one id; a null id is passed on; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stage
+from .common import bound_batches, map_rows, stage
 from .learning import isotonic, labelled, partition_sum
 
 _MARKS = b".,;:!?|#$%&*\"'()-_/\\=<>@{}[]"
@@ -103,7 +104,7 @@ def score_quality(
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    stats = stage(slim.mapInPandas(describe, "doc_id long, x array<double>"), "statistics")
+    stats = stage(map_rows(slim, describe, "doc_id long, x array<double>"), "statistics")
     train = stage(labelled(stats, labels, id_col, label_col, train_fold), "train")
 
     def moments(part: pd.DataFrame) -> np.ndarray:
@@ -148,4 +149,4 @@ def score_quality(
                 score = np.clip(0.999 * np.interp(raw, knots, levels) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1), 0, 1)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "predicted": (score >= 0.5).astype("int32")})
 
-    return stats.mapInPandas(predict, "doc_id long, score double, predicted int")
+    return map_rows(stats, predict, "doc_id long, score double, predicted int")

@@ -7,7 +7,8 @@ pre-token gives the count of each of its prefixes. Pre-tokens repeat, and what
 is found for a piece of text is remembered, within a bound, by each worker.
 
 Defined cases: a null or empty text has no bytes and no tokens; a special
-string counts as one token; repeated rows are counted alike; other columns
+string counts as one token; repeated rows are counted alike; a null id is
+passed on; an empty table gives no rows; other columns
 play no part.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, map_rows
 from .tokens import _MARKS, PieceCodec, blocks, byte_symbols, shrink, split_unique
 
 _COUNTERS: dict[str, "PrefixCounter"] = {}
@@ -257,4 +258,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return map_rows(slim, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, map_rows
 from .eliasfano import EliasFano
 from .tokens import PieceCodec
 
@@ -70,7 +70,7 @@ def write_token_files(
             for doc_id, ids in zip(batch["doc_id"].tolist(), codec.encode_many(batch["text"].tolist())):
                 ids += end
                 held.append(ids)
-                names.append(None if pd.isna(doc_id) else int(doc_id))
+                names.append(None if doc_id is None else int(doc_id))
                 total += len(ids) >> 2
                 ends.append(total)
                 if total >= shard_ids:
@@ -84,7 +84,7 @@ def write_token_files(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInPandas(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ranged.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -110,9 +110,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.frombuffer(r.ids, "<u2" if r.id_bytes == 2 else "<u4").astype("<u4").tobytes()
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield pd.DataFrame(
-                    {"doc_id": pd.array(r.doc_ids, "Int64"), "start": starts + r.start, "n_tokens": ends - starts, "ids_crc32": crc}
+                    {"doc_id": list(r.doc_ids), "start": starts + r.start, "n_tokens": ends - starts, "ids_crc32": crc}
                 )
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    cut = shard_starts(shards).select("start", "n_docs", "doc_ids", "width", "low", "high", "samples", "id_bytes", "ids")
-    return cut.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    cut = shard_starts(shards).select("start", "n_docs", "doc_ids", "width", "low", "high", "samples", "id_bytes", "ids").withColumn(
+        "doc_ids", F.col("doc_ids").cast("array<string>")
+    )
+    return map_rows(cut, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -19,7 +19,8 @@ Both come from a bounded sample of about ``sample_per_label`` rows a label.
 
 Defined cases: a null or empty text matches nothing and gets the lowest score;
 null labels are not learned from; without labels the fixed lists and weights
-stand; repeated rows are scored alike, and exact copies teach once; other
+stand; repeated rows are scored alike, and exact copies teach once, as toxic if any is;
+a null id is passed on; of several labels for one id the smallest counts; other
 columns play no part.
 """
 
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, keep_ids, stage
+from .common import bound_batches, keep_ids, map_rows, stage
 from .learning import bounded_sample, labelled, logistic, sigmoid
 
 # The words that the grammar starts from.
@@ -221,7 +222,7 @@ def score_toxicity(
     known = labelled(labels.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), labels, id_col, label_col, train_fold)
     chosen = stage(bounded_sample(known, "doc_id", "y", sample_per_label), "chosen")
     rows = keep_ids(slim, chosen.select("doc_id"), "doc_id").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
-    sample = stage(rows.dropDuplicates(["text"]), "sample")
+    sample = stage(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")), "sample")
     words, heads = learn_lexicon(sample)
     grammar = Grammar({w: 1.0 for w in INSULTS} | words, heads)
 
@@ -249,4 +250,4 @@ def score_toxicity(
                     }
                 )
 
-    return slim.mapInPandas(predict, "doc_id long, score double, predicted int, n_clauses int")
+    return map_rows(slim, predict, "doc_id long, score double, predicted int, n_clauses int")

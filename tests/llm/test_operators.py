@@ -445,3 +445,56 @@ def test_pipeline_stages(spark):
             assert all(now[i] == before[i] for i in now)
     pieces = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in pieces.collect()} == set(now) and kept
+
+
+# ids
+
+
+def test_marks_after_every_letter_are_the_librarys(spark):
+    """Letters that normalise to a combining mark keep the mark after them."""
+    from stratalog.llm.tokens import PieceCodec
+
+    letters = [c for c in map(chr, range(0x20, 0x20000)) if c.isalpha()]
+    for name, style in ((WORDS, "words"), (BYTES, "spaced")):
+        codec, tok = PieceCodec(public_path(name), style), Tokenizer.from_file(public_path(name))
+        texts = [" ".join(f"a {c}{mark} {c}x{mark}" for c in letters[i : i + 200]) for i in range(0, len(letters), 200) for mark in ".?"]
+        for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+            assert codec.encode(t) == array("I", e.ids).tobytes(), t[:80]
+
+
+BIG = 9007199254740993
+
+
+@pytest.mark.parametrize("name", ["near", "quality", "packing", "language", "toxicity", "counts", "files", "lines", "vectors", "leaks"])
+def test_ids_stay_exact_beside_null_and_repeated_ones(spark, tmp_path, name):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    ids = [BIG, None, 3, 3, None, BIG + 2]
+    docs = spark.createDataFrame([(i, f"{text} {n}", "en", n) for n, i in enumerate(ids)], "doc_id long, text string, lang string, y int").coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 0), (3, 0, 1), (3, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    if name == "files":
+        write_token_files(docs, f"file://{tmp_path}/files", public_path(BYTES))
+    out = {
+        "near": lambda: near_duplicates(docs),
+        "quality": lambda: score_quality(docs, labels, F.lit(True)),
+        "packing": lambda: pack_documents(docs, public_path(WORDS)),
+        "language": lambda: identify(docs, F.lit(True)),
+        "toxicity": lambda: score_toxicity(docs, labels, F.lit(True)),
+        "counts": lambda: count_tokens(docs, public_path(BYTES)),
+        "files": lambda: read_token_files(spark, f"file://{tmp_path}/files"),
+        "lines": lambda: line_dedup(docs),
+        "vectors": lambda: near_duplicate_vectors(docs.selectExpr("doc_id AS vec_id", "array(1D, y) AS embedding")).withColumnRenamed("vec_id", "doc_id"),
+        "leaks": lambda: contaminated(docs, spark.createDataFrame([(BIG, text), (None, text)], "item_id long, text string")),
+    }[name]()
+    got = [r["doc_id"] for r in out.collect()]
+    want = {"vectors": {BIG, None, 3, BIG + 2}, "leaks": {BIG, 3, BIG + 2}}.get(name, set(ids))
+    assert set(got) == want and (name in ("vectors", "leaks") or len(got) == len(ids))
+    if name == "leaks":
+        assert {r["item_id"] for r in out.collect()} == {BIG, None}
+
+
+def test_lines_of_texts_with_very_many_lines(spark, rows):
+    """Every second of 100,000 lines is shared: time grows with the lines, not with their square."""
+    texts = ["\n".join(f"shared line number {i}" if i % 2 else f"line {i} of text {k}" for i in range(100_000)) for k in range(2)]
+    out = {r["doc_id"]: r for r in line_dedup(rows(texts)).select("doc_id", "n_lines", "n_dropped", "kept_text", F.size("keep_runs").alias("n")).collect()}
+    assert [out[k]["n_dropped"] for k in range(2)] == [0, 50_000] and out[1]["n"] == 100_001
+    assert out[1]["kept_text"].split("\n") == texts[1].split("\n")[::2]
