@@ -11,10 +11,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where the setting is missing (local tests) a temporary folder is made and
-    recorded in the session, so that every later call sees the same one.
+    recorded in the session, so that every later call sees the same one. On a
+    cluster that would be another folder on each machine, hence an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratalog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
