@@ -39,6 +39,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, each by the folder of its files.
+
+    Only what no later work reads may go: whatever was made of it must itself
+    be written by now.
+    """
+    for df in staged:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession  # noqa: SLF001
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file)).getParent()
+            folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def map_rows(df: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``mapInPandas`` with the columns ``ids`` as strings inside.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def _hook(edges: DataFrame, upward: bool) -> DataFrame:
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     harmless, nulls are dropped, and an empty table gives an empty result.
     Alternating large and small stars converge in a number of rounds that
     grows with the logarithm of the node count; each round is written to the
-    shared folder. Only a count and a checksum reach the driver.
+    shared folder and the one before it deleted. Only a count and a checksum reach the driver.
     """
     now = stage(
         edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
@@ -50,7 +50,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
-        now = stage(_hook(_hook(now, True), False), "stars")
+        last, now = now, stage(_hook(_hook(now, True), False), "stars")
+        discard(last)
     else:
         raise RuntimeError("components did not converge")
     stars = now.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -43,7 +43,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_ids, stage, words
+from .common import ascii_lower, discard, keep_ids, stage, words
 from .components import connected_components
 
 
@@ -137,7 +137,9 @@ def rare_lists(reps: DataFrame, threshold: int, k: int, miss: float) -> DataFram
         .where("c > 1")
         .select("v", "c", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n"), F.col("low.rep").alias("low"), F.col("low.n").alias("low_n"))
     )
-    return stage(listed.select("v", "rep", "n").join(lengths, "v"), "lists")
+    lists = stage(listed.select("v", "rep", "n").join(lengths, "v"), "lists")
+    discard(listed)
+    return lists
 
 
 def near_duplicates(
@@ -201,10 +203,14 @@ def near_duplicates(
     likely = ends(stars, brief).where(_likely(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), k, threshold, miss))
     likely = stage(likely.select("a", "b").distinct(), "likely")
     some = stage(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "some")
-    first = stage(connected_components(verified(likely, full_sets(some, "full"))), "first")
-
-    lists = lists.select("v", "rep", "n", _lists_shared(F.col("n"), threshold, k, miss).alias("need"))
-    posted = _open_members(lists, first, brief.select("rep", "s"), block)
+    full = full_sets(some, "full")
+    linked = stage(verified(likely, full), "linked")
+    discard(full, some, likely, stars)  # full sets are the largest table of all
+    first = stage(connected_components(linked), "first")
+
+    needed = lists.select("v", "rep", "n", _lists_shared(F.col("n"), threshold, k, miss).alias("need"))
+    posted = _open_members(needed, first, brief.select("rep", "s"), block)
+    discard(lists)
     left, right, likely = _open_join(posted, k, threshold, miss)
     near = left.join(right, likely, "left_semi").select("rep").union(right.join(left, likely, "left_semi").select("rep"))
     near = stage(near.distinct(), "near")
@@ -213,6 +219,7 @@ def near_duplicates(
     rest = left.join(right, likely).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verified(stage(rest, "open"), full))
     labels = connected_components(links)
+    discard(posted, near, full)
 
     named = (
         reps.select("k1", "k2", "rep")
@@ -244,7 +251,10 @@ def _open_members(lists: DataFrame, labels: DataFrame, sketches: DataFrame, bloc
         F.sort_array(F.collect_list(F.struct("v", "main", "blocks"))).alias("in")
     )
     members = members.where("size(in) >= need").join(sketches, "rep").withColumn("at", F.col("in.v"))
-    return stage(members.select("rep", "n", "need", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "need", "comp", "s", "at", "one.*"), "members")
+    members = members.select("rep", "n", "need", "comp", "s", "at", F.explode("in").alias("one")).select("rep", "n", "need", "comp", "s", "at", "one.*")
+    members = stage(members, "members")
+    discard(placed)
+    return members
 
 
 def _open_join(posted: DataFrame, size: int, threshold: int, miss: float) -> tuple[DataFrame, DataFrame, Column]:
