@@ -1,19 +1,34 @@
 """Event streams: dense offsets, append records, search and idempotent appends.
 
-Every window here is partitioned by the stream, which is the unit of order;
-streams are many, and none is read whole by more than one task.
+Windows are partitioned by the stream, which is the unit of order. A stream
+that holds much of all events is numbered in parts (``chunk``); windows over
+append records see one row for each batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_offsets(events: DataFrame, stream: str, order: list[str]) -> DataFrame:
-    """``events`` with ``stream_offset``: 0, 1, 2 … within each stream."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    return events.withColumn("stream_offset", F.row_number().over(w).cast("long") - 1)
+def assign_offsets(events: DataFrame, stream: str, order: list[str], chunk: Column | None = None) -> DataFrame:
+    """``events`` with ``stream_offset``: 0, 1, 2 … within each stream.
+
+    ``chunk`` never falls along the order, as the day of a time does not. With
+    it events are numbered within stream and chunk and moved on by the sizes of
+    the chunks before, so that no task reads a stream whole.
+    """
+    if chunk is None:
+        w = Window.partitionBy(stream).orderBy(*order)
+        return events.withColumn("stream_offset", F.row_number().over(w).cast("long") - 1)
+    parts = events.withColumn("_chunk", chunk)
+    near = Window.partitionBy(stream, "_chunk").orderBy(*order)
+    earlier = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(F.col(stream).alias("_s"), F.col("_chunk").alias("_c")).agg(F.count("*").alias("_n"))
+    moves = sizes.select("_s", "_c", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_move"))
+    same = F.col(stream).eqNullSafe(F.col("_s")) & F.col("_chunk").eqNullSafe(F.col("_c"))
+    numbered = parts.withColumn("_at", F.row_number().over(near).cast("long") - 1).join(moves, same)
+    return numbered.withColumn("stream_offset", F.col("_at") + F.col("_move")).drop("_chunk", "_at", "_s", "_c", "_move")
 
 
 def scan_range(events: DataFrame, begin: int, end: int) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.functions.xxh64 import xxh64
+from stratalog.functions.xxh64_keys import hash_after
 
 
 def score(node: Column, workload: Column) -> Column:
@@ -61,16 +62,26 @@ def moved(before: DataFrame, after: DataFrame, workload: str) -> DataFrame:
 def route_exact(workloads: DataFrame, nodes: list[bytes], workload: str) -> DataFrame:
     """Routing by XXH64 with seed 0 over 16 bytes of node and 16 of workload.
 
-    ``workload`` is a BINARY(16) column; the chosen node comes as ``node_id``.
+    ``workload`` is a column of 16 bytes; the chosen node comes as ``node_id``,
+    null for a null workload. A batch is hashed for one node after the other.
     """
     if not nodes:
         raise ValueError("there are no nodes to route to")
     order = sorted(nodes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            keys = part[workload].tolist()
-            yield part.assign(node_id=[max(order, key=lambda n: xxh64(n + k)) for k in keys])
+            keys = part.column(workload).to_pylist()
+            if any(k is not None and len(k) != 16 for k in keys):
+                raise ValueError("a workload must have 16 bytes")
+            lanes = np.frombuffer(b"".join(bytes(16) if k is None else k for k in keys), "<u8").reshape(-1, 2)
+            best, top = np.zeros(len(keys), int), hash_after(order[0], lanes)
+            for i, node in enumerate(order[1:], 1):
+                scores = hash_after(node, lanes)
+                best[scores > top] = i
+                top = np.maximum(top, scores)
+            chosen = pa.array([None if k is None else order[i] for k, i in zip(keys, best)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, chosen], names=[*part.schema.names, "node_id"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in workloads.dtypes)
-    return workloads.mapInPandas(run, f"{fields}, node_id binary")
+    return workloads.mapInArrow(run, f"{fields}, node_id binary")

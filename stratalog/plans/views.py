@@ -16,7 +16,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("stream_id"), F.col("event_id").alias("message_id"), "event_type", "ts", F.to_date("ts").alias("d")
     )
-    return log.assign_offsets(events, "stream_id", ["ts", "message_id"])
+    return log.assign_offsets(events, "stream_id", ["ts", "message_id"], F.to_date("ts"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,18 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.heartbeats(events, LEASE)
 
 
+def registry_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what nodes ask of the registry: signups register, errors deregister, all others renew."""
+    op = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "deregister").otherwise("renew")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("node_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), op.alias("op"))
+
+
+def keyspace_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' values by time; an error deletes the key."""
+    value = F.when(F.col("event_type") != "error", F.col("event_type")).alias("value")
+    return table(spark, sf_dir, "events").select("user_id", value, F.struct("ts", "event_id").alias("v"))
+
+
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days on which anything happened."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("poll_at")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import attributes
-from stratalog.operators import cluster, commands, log, metrics, routing, signals
+from stratalog.operators import cluster, commands, log, metrics, registry, routing, signals
 from stratalog.plans import views
+from stratalog.plans.oracles import HEARTBEATS, RECORDS
 from stratalog.plans.oracles import ORACLES as _SPECIFIED
+from stratalog.plans.routing_sql import exact_routes
 from stratalog.sources import journal
 from stratalog.sources.shared import shared_dir
 from stratalog.sources.tables import table
@@ -218,9 +220,7 @@ AS handler, COUNT(*) AS n FROM events GROUP BY 1
 @query
 def keyspace_latest(spark, sf_dir):
     """Users' last values; an error deletes the key."""
-    events = table(spark, sf_dir, "events")
-    writes = events.select("user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"), F.struct("ts", "event_id").alias("v"))
-    return journal.latest_by_key(writes, "user_id", "value", "v")
+    return journal.latest_by_key(views.keyspace_writes(spark, sf_dir), "user_id", "value", "v")
 
 
 ORACLES["keyspace_latest"] = """
@@ -243,9 +243,105 @@ SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS is_member FROM
 """
 
 
+@query
+def keyspace_get(spark, sf_dir):
+    """The values of all customers' keys, most of which users wrote or nobody did."""
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return journal.get(views.keyspace_writes(spark, sf_dir), keys, "user_id", "value", "v")
+
+
+ORACLES["keyspace_get"] = f"""
+WITH k AS ({_SPECIFIED["keyspace_latest"] if "keyspace_latest" in _SPECIFIED else ORACLES["keyspace_latest"]})
+SELECT c.c_custkey AS user_id, k.value FROM (SELECT DISTINCT c_custkey FROM customer) c LEFT JOIN k ON k.user_id = c.c_custkey
+"""
+
+
+@query
+def journal_truncated(spark, sf_dir):
+    """Bounds of each journal whose first two records are gone."""
+    return log.bounds(journal.truncate(views.records(spark, sf_dir), 2))
+
+
+ORACLES["journal_truncated"] = f"""
+WITH {RECORDS} SELECT stream_id, MIN(pos) AS begin_pos, MAX(pos) + 1 AS end_pos, MAX(offset_after) AS next_offset
+FROM r WHERE pos >= 2 GROUP BY stream_id
+"""
+
+
+@query
+def union_dispatch(spark, sf_dir):
+    """Orders as a union of open, part and full ones; each case gives a value of its own."""
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey")
+    cases = {"accepted": "O", "handled": "P", "appended": "F"}
+    record = table(spark, sf_dir, "orders").select(key, *[F.when(status == s, F.struct(key.alias("command_id"))).alias(n) for n, s in cases.items()])
+    value = commands.switch_operation({n: F.concat(F.lit(n + ":"), F.col(n)["command_id"].cast("string")) for n in cases})
+    return record.select("o_orderkey", value.alias("operation"))
+
+
+ORACLES["union_dispatch"] = """
+SELECT o_orderkey, CONCAT(CASE o_orderstatus WHEN 'O' THEN 'accepted:' WHEN 'P' THEN 'handled:' WHEN 'F' THEN 'appended:' END,
+CAST(o_orderkey AS VARCHAR)) AS operation FROM orders
+"""
+
+
 # cluster
 
 
+@query
+def registry_outcomes(spark, sf_dir):
+    """What each registration, renewal and deregistration gives."""
+    return registry.outcomes(views.registry_operations(spark, sf_dir), views.LEASE)
+
+
+_OUTCOMES = """
+o AS (SELECT user_id % 20 AS node_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'register'
+WHEN 'error' THEN 'deregister' ELSE 'renew' END AS op FROM events),
+f AS (SELECT *, CASE WHEN op <> 'renew' OR COALESCE(lag(ts) OVER w + INTERVAL 6 HOURS < ts, TRUE) THEN 1 ELSE 0 END AS fresh
+FROM o WINDOW w AS (PARTITION BY node_id ORDER BY ts, seq)),
+g AS (SELECT *, SUM(fresh) OVER (PARTITION BY node_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM f),
+i AS (SELECT *, first_value(op) OVER (PARTITION BY node_id, run ORDER BY ts, seq) AS head FROM g),
+b AS (SELECT *, lag(head) OVER (PARTITION BY node_id ORDER BY ts, seq) AS head_before FROM i),
+done AS (SELECT node_id, ts, seq, op, CASE WHEN op = 'register' THEN 'registered' WHEN op = 'deregister' THEN 'deregistered'
+WHEN fresh = 0 AND head = 'register' THEN 'renewed' WHEN fresh = 1 AND head_before = 'register' THEN 'expired' ELSE 'missing' END AS outcome
+FROM b),
+q AS (SELECT node_id, ts AS "at", seq, op, outcome, CASE WHEN outcome IN ('registered', 'renewed') THEN ts + INTERVAL 6 HOURS END AS expires_at FROM done)"""
+ORACLES["registry_outcomes"] = f"WITH {_OUTCOMES} SELECT * FROM q"
+
+
+@query
+def registry_tombstones(spark, sf_dir):
+    """Live nodes where a deregistration or a failed renewal ends a lease early."""
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return registry.live(registry_outcomes(spark, sf_dir), now)
+
+
+ORACLES["registry_tombstones"] = f"""
+WITH {_OUTCOMES}, l AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY "at" DESC, seq DESC) AS rk FROM q
+WHERE "at" <= TIMESTAMP '2024-01-10 00:00:00')
+SELECT node_id, expires_at FROM l WHERE rk = 1 AND expires_at > TIMESTAMP '2024-01-10 00:00:00'
+"""
+
+
+@query
+def membership_published(spark, sf_dir):
+    """Changes where nobody takes what is found on every third day of a month."""
+    polls = views.polls(spark, sf_dir)
+    live = cluster.live_at_polls(views.heartbeats(spark, sf_dir), polls)
+    return registry.published_changes(live, polls.withColumn("delivered", F.dayofmonth("poll_at") % 3 != 0))
+
+
+ORACLES["membership_published"] = f"""
+WITH {HEARTBEATS}, sent AS (SELECT t, row_number() OVER (ORDER BY t) AS no FROM (SELECT DISTINCT date_trunc('day', ts) AS t FROM events)
+WHERE day(t) % 3 <> 0),
+live AS (SELECT DISTINCT s.no, h.node_id FROM sent s JOIN h ON h.ts <= s.t AND h.expires_at > s.t),
+x AS (SELECT no, node_id, 'registered' AS change FROM live c WHERE NOT EXISTS
+(SELECT 1 FROM live p WHERE p.no = c.no - 1 AND p.node_id = c.node_id)
+UNION ALL SELECT no + 1, node_id, 'deregistered' FROM live p WHERE NOT EXISTS
+(SELECT 1 FROM live c WHERE c.no = p.no + 1 AND c.node_id = p.node_id))
+SELECT s.t AS poll_at, x.node_id, x.change FROM x JOIN sent s ON s.no = x.no
+"""
+
+
 @query
 def registry_live(spark, sf_dir):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
@@ -283,7 +379,7 @@ def rendezvous_remove_node(spark, sf_dir):
 
 @query
 def rendezvous_exact(spark, sf_dir):
-    """Routing of 16-byte keys by the seed-0 hash; SQL has no such hash."""
+    """Routing of 16-byte keys by the seed-0 hash."""
     nodes = [n.to_bytes(16, "big") for n in routing.node_list(views.nodes(spark, sf_dir), "node_id", 1000)]
     key = F.unhex(F.lpad(F.hex("workload"), 32, "0"))
     work = views.workloads(spark, sf_dir).select("workload", key.alias("key"))
@@ -291,6 +387,11 @@ def rendezvous_exact(spark, sf_dir):
     return routed.select("workload", F.conv(F.hex("node_id"), 16, 10).cast("long").alias("node_id"))
 
 
+ORACLES["rendezvous_exact"] = exact_routes(
+    "SELECT s_suppkey AS node_id FROM supplier WHERE s_suppkey < 10", "SELECT o_orderkey AS workload FROM orders"
+)
+
+
 # telemetry
 
 
@@ -347,6 +448,29 @@ lower(hex(substr(repeat(c_name, 5), 1, 64))) FROM customer WHERE c_name IS NOT N
 """
 
 
+@query
+def telemetry_attribute_kinds(spark, sf_dir):
+    """The other kinds of attributes, on events."""
+    micros = F.col("event_id") * 1_500
+    attrs = attributes.attribute_map(
+        attributes.double("half", F.col("event_id") % 1000 / 2 + 0.25),
+        attributes.time("at", F.col("ts")),
+        attributes.duration("took", micros),
+        attributes.uuid("trace", F.upper(F.md5(F.col("event_id").cast("string")))),
+        attributes.type_name("type", F.col("event_id")),
+    )
+    return table(spark, sf_dir, "events").select("event_id", F.explode(attrs).alias("key", "value"))
+
+
+ORACLES["telemetry_attribute_kinds"] = """
+SELECT event_id, 'half' AS key, CAST(event_id % 1000 / 2 + 0.25 AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, 'at', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') FROM events
+UNION ALL SELECT event_id, 'took', CAST(CAST(event_id * 1500 / 1000000 AS DECIMAL(20, 6)) AS VARCHAR) FROM events
+UNION ALL SELECT event_id, 'trace', md5(CAST(event_id AS VARCHAR)) FROM events
+UNION ALL SELECT event_id, 'type', 'bigint' FROM events
+"""
+
+
 # signals, topics, states, sets
 
 

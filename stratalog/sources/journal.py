@@ -73,7 +73,12 @@ class Journal:
 
     def truncated(self, begin: int) -> DataFrame:
         """What is left when all before ``begin`` goes; write it to a new place to free the files."""
-        return self.read().where(F.col(self.pos) >= begin)
+        return truncate(self.read(), begin, self.pos)
+
+
+def truncate(records: DataFrame, begin: int, pos: str = "pos") -> DataFrame:
+    """``records`` from position ``begin`` on."""
+    return records.where(F.col(pos) >= begin)
 
 
 def last_record(records: DataFrame, key: str, pos: str) -> DataFrame:
@@ -91,6 +96,16 @@ def latest_by_key(versions: DataFrame, key: str, value: str, version: str) -> Da
     return newest.where("s.v IS NOT NULL").select(key, F.col("s.v").alias(value))
 
 
+def get(versions: DataFrame, keys: DataFrame, key: str, value: str, version: str) -> DataFrame:
+    """Each of ``keys`` with its newest value, null if it has none or was deleted.
+
+    Only the writes of these keys are folded.
+    """
+    asked = keys.select(key).distinct()
+    found = latest_by_key(versions.join(asked, key, "left_semi"), key, value, version)
+    return asked.join(found, key, "left")
+
+
 def members(inserts: DataFrame, column: str) -> DataFrame:
     """A set from its inserts; inserting twice changes nothing."""
     return inserts.select(column).where(F.col(column).isNotNull()).distinct()
