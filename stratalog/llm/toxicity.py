@@ -1,14 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes: insult, threat, target, negation, report, other. Four
-small transducers run over a clause one after the other; each reads the
-classes and the marks of the one before and adds its own mark:
+A lexicon turns words into classes (insult, threat, target, negation, report,
+other) with weights. Four transducers over these classes are composed once into
+one table of weighted arcs, which reads a clause word by word:
 
 * negation marks the insults and threats up to three words after it;
 * reported speech marks all that follows it in the clause;
-* target marks the clause that names a person addressed;
-* insult and threat emit what they found with these marks and its weight (a
-  threat needs a target).
+* target marks the clause that names a person addressed, before or after;
+* the last puts out what insults and threats were found with these marks and
+  its weight (a threat needs a target).
 
 A document's evidence is the sum of matched weights for each kind of match.
 Which words insult is a fixed list and what the labels teach: words and word
@@ -27,7 +27,8 @@ columns play no part.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -55,41 +56,90 @@ _CLAUSE = re.compile(r"[.;!?\n|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
-def negation(marks: list[set[str]], classes: list[str]) -> None:
-    left = 0
-    for m, c in zip(marks, classes):
-        if left and c in ("insult", "threat"):
-            m.add("negated")
-        left = 3 if c == "negation" else max(0, left - 1)
+CLASSES = ("insult", "threat", "target", "negation", "report", "other")
 
 
-def report(marks: list[set[str]], classes: list[str]) -> None:
-    on = False
-    for m, c in zip(marks, classes):
-        if on:
-            m.add("reported")
-        on = on or c == "report"
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state, symbol]`` gives the next state, the symbol put out and a weight."""
 
+    starts: tuple
+    finals: frozenset
+    arcs: dict
 
-def target(marks: list[set[str]], classes: list[str]) -> None:
-    if "target" in classes:
-        for m in marks:
-            m.add("targeted")
 
-
-def emit(marks: list[set[str]], classes: list[str]) -> list[tuple[int, str]]:
-    out = []
-    for i, (m, c) in enumerate(zip(marks, classes)):
-        kind = next((k for k in ("negated", "reported", "targeted") if k in m), "plain")
-        if c == "insult":
-            out.append((i, kind))
-        elif c == "threat" and "targeted" in m:
-            out.append((i, "threat" if kind == "targeted" else kind))
+def transducer(starts: tuple, accepts: Callable, symbols: Iterable, step: Callable) -> Transducer:
+    """The table of ``step(state, symbol)`` over all states reached from ``starts``; None is no arc."""
+    arcs, left, seen = {}, list(starts), set(starts)
+    while left:
+        state = left.pop()
+        for symbol in symbols:
+            arc = step(state, symbol)
+            if arc is not None:
+                arcs[state, symbol] = arc
+                if arc[0] not in seen:
+                    seen.add(arc[0])
+                    left.append(arc[0])
+    return Transducer(starts, frozenset(filter(accepts, seen)), arcs)
+
+
+def compose(first: Transducer, second: Transducer, symbols: Iterable) -> Transducer:
+    """One transducer that does what ``second`` does with what ``first`` puts out; weights multiply."""
+
+    def step(state, symbol):
+        one = first.arcs.get((state[0], symbol))
+        two = second.arcs.get((state[1], one[1])) if one else None
+        return two and ((one[0], two[0]), two[1], one[2] * two[2])
+
+    starts = tuple((p, q) for p in first.starts for q in second.starts)
+    return transducer(starts, lambda s: s[0] in first.finals and s[1] in second.finals, symbols, step)
+
+
+def _negation(left: int, word: str):
+    mark = "negated" if left and word in ("insult", "threat") else ""
+    return 3 if word == "negation" else max(0, left - 1), (word, mark), 1.0
+
+
+def _report(on: bool, read: tuple[str, str]):
+    word, mark = read
+    return on or word == "report", (word, mark or ("reported" if on else "")), 1.0
+
+
+def _target(guess: str, read: tuple[str, str]):
+    # a clause's target may come last: one path awaits it, another dies if it comes
+    word = read[0]
+    if word != "target":
+        return guess, (*read, guess != "none"), 1.0
+    return None if guess == "none" else ("seen", (*read, True), 1.0)
+
+
+def _matches(state: int, read: tuple[str, str, bool]):
+    word, mark, targeted = read
+    if word == "insult":
+        return state, mark or ("targeted" if targeted else "plain"), 1.0
+    if word == "threat" and targeted:
+        return state, mark or "threat", 1.0
+    return state, "", 0.0
+
+
+def clause_transducer() -> Transducer:
+    """Negation, report, target and match transducers composed into one."""
+    out = transducer((0,), lambda s: True, CLASSES, _negation)
+    for starts, accepts, step in (
+        ((False,), lambda s: True, _report),
+        (("none", "awaited"), lambda s: s != "awaited", _target),
+        ((0,), lambda s: True, _matches),
+    ):
+        read = {put for _, put, _ in out.arcs.values()}
+        out = compose(out, transducer(starts, accepts, read, step), CLASSES)
     return out
 
 
+CLAUSE_TRANSDUCER = clause_transducer()
+
+
 class Grammar:
-    """The lexicon, by whole words and by beginnings of words, and the transducers."""
+    """The lexicon, by whole words and by beginnings of words, and the composed transducer."""
 
     def __init__(self, words: dict[str, float], heads: dict[str, float]):
         self.words, self.heads = words, heads
@@ -146,10 +196,24 @@ class Grammar:
         words = _WORD.findall(clause)
         weights = [self.weight(w) for w in words]
         classes = ["insult" if v else self.classes.get(w, "other") for w, v in zip(words, weights)]
-        marks: list[set[str]] = [set() for _ in words]
-        for transducer in (negation, report, target):
-            transducer(marks, classes)
-        return [(kind, weights[i] or 1.0) for i, kind in emit(marks, classes)]
+        return run_clause(CLAUSE_TRANSDUCER, classes, weights)
+
+
+def run_clause(machine: Transducer, classes: list[str], weights: list[float]) -> list[tuple[str, float]]:
+    """The matches on the one path that accepts the whole clause, each with its word's weight times the arc's."""
+    for state in machine.starts:
+        found = []
+        for name, weight in zip(classes, weights):
+            arc = machine.arcs.get((state, name))
+            if arc is None:
+                break
+            state, kind, worth = arc
+            if kind:
+                found.append((kind, worth * (weight or 1.0)))
+        else:
+            if state in machine.finals:
+                return found
+    return []
 
 
 def terms(text: str) -> list[str]:

@@ -1,5 +1,6 @@
 """Corpus operators against plain versions, and on rows that are odd."""
 
+import itertools
 import random
 import zlib
 from array import array
@@ -25,7 +26,7 @@ from stratalog.llm.quality import score_quality
 from stratalog.llm.token_counts import PrefixCounter, count_tokens
 from stratalog.llm.token_files import read_token_files, write_token_files
 from stratalog.llm.tokens import public_path
-from stratalog.llm.toxicity import Grammar, INSULTS, score_toxicity
+from stratalog.llm.toxicity import CLASSES, CLAUSE_TRANSDUCER, Grammar, INSULTS, run_clause, score_toxicity
 
 SF, SF2, SF3 = (f"/root/testdata/{x}" for x in ("sf0.001", "sf0.01", "sf0.1"))
 BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -315,6 +316,31 @@ def test_grammar_reads_long_clauses_from_their_beginning():
             assert [long[lo:hi].strip() for lo, hi in spans] == [c.strip() for c in long.replace(";", ".").replace("!", ".").split(".") if grammar.clause(c.strip())]
 
 
+def plain_clause(classes, weights):
+    """What the composed transducer must find, from whole-clause rules."""
+    out = []
+    for i, (c, w) in enumerate(zip(classes, weights)):
+        targeted = "target" in classes
+        if c == "insult" or c == "threat" and targeted:
+            if "negation" in classes[max(0, i - 3) : i]:
+                kind = "negated"
+            elif "report" in classes[:i]:
+                kind = "reported"
+            else:
+                kind = "threat" if c == "threat" else "targeted" if targeted else "plain"
+            out.append((kind, w or 1.0))
+    return out
+
+
+def test_composed_transducer_matches_plain_rules():
+    rng = random.Random(4)
+    clauses = [list(c) for n in range(6) for c in itertools.product(CLASSES, repeat=n)]
+    clauses += [rng.choices(CLASSES, k=rng.randrange(6, 40)) for _ in range(2000)]
+    for classes in clauses:
+        weights = [rng.choice([0.25, 0.5, 2.0]) if c == "insult" else 0.0 for c in classes]
+        assert run_clause(CLAUSE_TRANSDUCER, classes, weights) == plain_clause(classes, weights)
+
+
 def test_isotonic():
     x, y = isotonic(np.arange(5.0), np.array([0, 1, 0, 2, 1.0]), np.ones(5))
     assert (np.diff(y) > 0).all() and x.tolist() == [0, 1.5, 3.5] and y.tolist() == [0, 0.5, 1.5]
